@@ -46,6 +46,7 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self._fs = filesystem(spark, root)
+        self._loaded: dict[int, dict] = {}  # manifests never change
 
     # -- manifests ---------------------------------------------------------
 
@@ -61,6 +62,11 @@ class VersionedTable:
         return max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()], default=0)
 
     def _load(self, version: int) -> dict:
+        if version not in self._loaded:
+            self._loaded[version] = self._parse(version)
+        return self._loaded[version]
+
+    def _parse(self, version: int) -> dict:
         stream = self._fs.open(hadoop_path(self.spark, self._manifest_path(version)))
         try:
             return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
