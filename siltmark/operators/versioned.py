@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,9 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
         self._fs = filesystem(spark, root)
+        jvm = spark._jvm
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
+        self._no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         self._loaded: dict[int, dict] = {}  # manifests never change
 
     # -- manifests ---------------------------------------------------------
@@ -109,15 +113,12 @@ class VersionedTable:
             for name, vector in body["vectors"].items():
                 files[name] = [*files[name], vector]
             body["full"] = files
-        jvm = self.spark._jvm
         tmp = hadoop_path(self.spark, f"{self.root}/_versions/.{uuid.uuid4().hex}.tmp")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(body).encode()))
         out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        no_overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            context.rename(tmp, hadoop_path(self.spark, self._manifest_path(version)), no_overwrite)
+            self._context.rename(tmp, hadoop_path(self.spark, self._manifest_path(version)), self._no_overwrite)
         except Exception as error:
             self._fs.delete(tmp, False)
             if "FileAlreadyExists" in str(error):
@@ -219,11 +220,9 @@ class VersionedTable:
             rows = rows.join(shared, key, "left_anti")
             deletes.append(rows.join(after, key, "left_semi").join(before, key, "left_anti").drop(*key))
             inserts.append(rows.join(before, key, "left_semi").join(after, key, "left_anti").drop(*key))
-        out = self.spark.createDataFrame([], self.schema).withColumn("_change", F.lit("insert"))
         parts = [(x, "insert") for x in inserts] + [(x, "delete") for x in deletes]
-        for i, (part, kind) in enumerate(parts):
-            part = part.withColumn("_change", F.lit(kind))
-            out = part if i == 0 else out.unionByName(part)
+        parts = parts or [(self._scan([], False), "insert")]
+        out = reduce(DataFrame.unionByName, [part.withColumn("_change", F.lit(kind)) for part, kind in parts])
         if not net:
             return out
         names = [f.name for f in self.schema.fields]

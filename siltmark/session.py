@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,8 +60,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _path_class(jvm):
+    return jvm.org.apache.hadoop.fs.Path
+
+
 def hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+    return _path_class(spark._jvm)(path)
 
 
 def filesystem(spark: SparkSession, path: str):
