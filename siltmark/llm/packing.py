@@ -128,7 +128,7 @@ def pack(items: DataFrame, size: str, keep: list[str], capacity: int, full: floa
         span, groups = span * fan_in, -(-groups // fan_in)
         group = F.floor(F.shiftright("bin", 32) / F.lit(span)).cast("long")
         step = below.withColumn("__group", group).groupBy("__group").applyInArrow(
-            lambda table, f=_merge_group(capacity, enough, carry): f(table), "bin bigint, root bigint, fill bigint, up boolean")
+            _merge_group(capacity, enough, carry), "bin bigint, root bigint, fill bigint, up boolean")
         step = cut(step, "merged")
         below = step.filter("up").select("bin", "fill")
         change = step.filter("bin <> root").select("bin", "root")
