@@ -41,3 +41,20 @@ def salt_lookup(df: DataFrame, key: Column, hot: list, salts: int, name: str) ->
         return df.withColumn(name, F.lit(0).cast("long"))
     every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
     return df.withColumn(name, F.explode(F.when(is_hot(key, hot), every).otherwise(F.array(F.lit(0).cast("long")))))
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str, salts: int = 64) -> DataFrame:
+    """Join on columns of one name, null equal to null, with hot keys of
+    ``left`` spread over salts. ``right`` should have few rows per key; ``how``
+    is one of inner, left, left_semi, left_anti. Columns of ``left`` and, unless
+    how is semi or anti, the others of ``right``."""
+    key = F.xxhash64(*on)  # only says what to split
+    hot = hot_keys(left.select(key.alias("k")))
+    other = F.xxhash64(*left.columns)
+    lhs = salt_rows(left, key, hot, other, salts, "__salt").alias("l")
+    rhs = salt_lookup(right, key, hot, salts, "__salt").alias("r")
+    same = [F.col("l.__salt") == F.col("r.__salt"), *[F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in on]]
+    joined = lhs.join(rhs, same, how)
+    if how in ("left_semi", "left_anti"):
+        return joined.drop("__salt")
+    return joined.select(*[F.col(f"l.`{c}`") for c in left.columns], *[F.col(f"r.`{c}`") for c in right.columns if c not in on])
