@@ -14,14 +14,14 @@ MAX_HOT = 1000
 MIN_ROWS = 20_000
 
 
-def hot_keys(keys: DataFrame, max_hot: int = MAX_HOT, min_rows: int = MIN_ROWS) -> list:
+def hot_keys(keys: DataFrame) -> list:
     """The hot values of the single column of ``keys`` (null is never hot).
 
     Counts are combined in each task before the shuffle.
     """
     name = keys.columns[0]
     counts = keys.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    floor = max(min_rows, keys.count() // max_hot)
+    floor = max(MIN_ROWS, keys.count() // MAX_HOT)
     return [r[0] for r in counts.filter((F.col("n") > floor) & F.col(name).isNotNull()).collect()]
 
 

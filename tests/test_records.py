@@ -1,0 +1,352 @@
+"""The general record-level operators against brute force, with nulls, ties,
+repeated rows, empty tables, hot keys and extra columns of clashing names."""
+
+import random
+from collections import Counter, defaultdict
+from itertools import groupby
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltmark.operators import compare, history, incremental, references, snapdiff, treeagg
+from siltmark.operators.versioned import CommitConflict, Consumer, VersionedTable
+
+FILES = "id long, path string, mtime double, algo string, hash string, size long, inode string, updated_at double"
+
+
+def files_rows(n, seed, hot_share=0.0):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        path = "hot" if r.random() < hot_share else r.choice(["a", "b", "c", "é", "", None])
+        rows.append((i * 2, path, r.choice([1.0, 2.0, 2.5]), r.choice(["md5", "xxh64", None]), r.choice(["h1", "h2", "h3", None]),
+                     r.choice([0, 5, None]), r.choice(["1", None]), r.choice([None, 1.0, 2.0, 3.0, 4.0, float(i % 7)])))
+    return rows
+
+
+def frame(spark, rows, schema=FILES, parts=3):
+    df = spark.createDataFrame(rows, schema).repartition(parts)
+    return df.withColumns({c: F.lit("x") for c in ("run_id", "n", "status", "k", "bucket", "field", "problem")})
+
+
+def got(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+# -- new and changed records ---------------------------------------------------
+
+RUNS = "run_id long, started_at double, finished_at double, status string, cutoff double"
+
+
+def brute_runs(rows, runs):
+    seen, out = set(), Counter()
+    for r in sorted((r for r in rows if r[7] is not None), key=lambda r: (r[7], r[0])):
+        key = (r[1], r[3], r[2], r[4], r[5])
+        if key not in seen:
+            seen.add(key)
+            able = [x[0] for x in runs if x[3] == "ok" and x[4] is not None and x[4] >= r[7]]
+            if able:
+                out[(min(able), r[0])] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_each_run_is_given_its_new_rows_once(spark, seed):
+    rows = files_rows(120, seed)
+    runs = [(1, 0.0, 0.0, "ok", 1.0), (2, 0.0, None, None, 2.0), (3, 0.0, 0.0, "failed", 3.0), (4, 0.0, 0.0, "ok", 3.0),
+            (5, 0.0, 0.0, "ok", 2.0), (6, 0.0, 0.0, "ok", None), (7, 0.0, 0.0, "ok", 3.0), (8, 0.0, 0.0, "ok", 5.0)]
+    out = incremental.replay(frame(spark, rows), spark.createDataFrame(runs, RUNS))
+    assert got(out) == brute_runs(rows, runs)
+
+
+def test_runs_over_empty_tables(spark):
+    none = spark.createDataFrame([], FILES)
+    runs = spark.createDataFrame([(1, 0.0, 0.0, "ok", 1.0)], RUNS)
+    assert incremental.replay(none, runs).count() == 0
+    assert incremental.replay(frame(spark, files_rows(9, 3)), spark.createDataFrame([], RUNS)).count() == 0
+
+
+def test_step_index_counts_smaller_bounds(spark):
+    values = [float(v) for v in (-1, 0, 0.5, 1, 2, 7, 8, 9)]
+    for bounds in ([], [1.0], [0.0, 1.0, 7.0], [float(x) for x in range(9)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("k", incremental.step_index(F.col("v"), bounds))
+        assert {r["v"]: r["k"] for r in df.collect()} == {v: sum(b < v for b in bounds) for v in values}
+
+
+def versioned(spark, tmp_path, name="t", schema="k long, v string"):
+    return VersionedTable(spark, f"file://{tmp_path}/{name}", spark.createDataFrame([], schema).schema)
+
+
+def test_deltas_between_any_two_versions(spark, tmp_path):
+    t = versioned(spark, tmp_path)
+    rows = lambda *ks: spark.createDataFrame([(k, f"v{k}") for k in ks], "k long, v string")
+    states = {0: []}
+    t.append(rows(1, 2, 3, 3))
+    states[1] = [1, 2, 3, 3]
+    t.append(rows(4))
+    states[2] = [1, 2, 3, 3, 4]
+    t.delete(F.col("k") == 3)
+    states[3] = [1, 2, 4]
+    t.delete(F.col("k").isin(1, 4))
+    states[4] = [2]
+    # Compaction: the live row moves to a new file.
+    t.commit(added=[f for fs in t.write_files(t.read()).values() for f in fs], removed=list(t.manifest(4)))
+    states[5] = [2]
+    for v, ks in states.items():
+        assert sorted(r["k"] for r in t.read(v).collect()) == ks
+    for a in states:
+        for b in states:
+            change = Counter()
+            for r in t.changes(a, b, net=True).collect():
+                change[r["k"]] += 1 if r["_change"] == "insert" else -1
+            expected = Counter(states[b])
+            expected.subtract(Counter(states[a]))
+            assert {k: n for k, n in change.items() if n} == {k: n for k, n in expected.items() if n}, (a, b)
+
+
+def test_failed_run_leaves_no_progress(spark, tmp_path):
+    src, out = versioned(spark, tmp_path, "s"), versioned(spark, tmp_path, "o")
+    src.append(spark.createDataFrame([(1, "a")], "k long, v string"))
+    c = Consumer(src, out)
+
+    def fail(delta):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        c.run(fail)
+    assert c.pending() == (0, 1) and out.latest() == 0
+    assert c.run(lambda d: d.select("k", "v")) == 1
+    assert c.run(lambda d: d.select("k", "v")) is None
+    src.append(spark.createDataFrame([(2, "b")], "k long, v string"))
+    assert c.run(lambda d: d.select("k", "v")) == 2
+    assert sorted(r["k"] for r in out.read().collect()) == [1, 2]
+    with pytest.raises(CommitConflict):
+        c.publish([], 0, 1)  # made from progress that is no longer the last
+    with pytest.raises(CommitConflict):
+        out.commit(parent=0)
+
+
+def test_manifests_after_many_commits(spark, tmp_path):
+    t = versioned(spark, tmp_path)
+    for i in range(20):
+        t.commit(added=[f"data/f{i}"], removed=[f"data/f{i - 2}"] if i > 1 else [])
+    assert t.manifest(20) == {"data/f18": [], "data/f19": []}
+    assert set(versioned(spark, tmp_path).manifest(17)) == {"data/f15", "data/f16"}
+
+
+# -- histories -------------------------------------------------------------------
+
+def brute_versions(rows):
+    out = Counter()
+    live = sorted((r for r in rows if r[7] is not None and r[4] is not None), key=lambda r: (str(r[1]), r[1] is None, str(r[3]), r[3] is None, r[7], r[0]))
+    for _, group in groupby(live, key=lambda r: (r[1], r[3])):
+        opens, last = [], None
+        for r in group:
+            if last is None or (r[2], r[4]) != last:
+                opens.append(r[0])
+            last = (r[2], r[4])
+        for i, o in enumerate(opens):
+            out[(o, i + 1, opens[i + 1] if i + 1 < len(opens) else None, len(opens))] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed,n,share", [(1, 60, 0), (2, 900, 0.4), (3, 400, 0.95)])
+def test_versions(spark, seed, n, share):
+    rows = files_rows(n, seed, share)
+    out = history.versions(frame(spark, rows), ["path", "algo"], ["mtime", "hash"], "id", "updated_at", ["hash"])
+    assert got(out.select("file_id", "version_no", "closed_by", "n_versions")) == brute_versions(rows)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_versions_of_hot_entities_are_cut_and_joined(spark, hot, seed):
+    rows = files_rows(700, seed, 0.6)
+    out = history.versions(frame(spark, rows), ["path", "algo"], ["mtime", "hash"], "id", "updated_at", ["hash"], parts=7)
+    assert got(out.select("file_id", "version_no", "closed_by", "n_versions")) == brute_versions(rows)
+
+
+def test_versions_of_one_entity_that_never_changes(spark, hot):
+    rows = [(i, "a", 1.0, "md5", "h", 1, None, float(i // 3)) for i in range(300)]
+    out = history.versions(frame(spark, rows), ["path", "algo"], ["mtime", "hash"], "id", "updated_at", parts=6)
+    assert got(out.select("file_id", "version_no", "closed_by", "n_versions")) == Counter({(0, 1, None, 1): 1})
+
+
+def test_versions_of_nothing(spark):
+    assert history.versions(spark.createDataFrame([], FILES), ["path", "algo"], ["mtime", "hash"], "id", "updated_at").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_presence_runs_with_gaps(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice(["e", "f", None]), r.choice(["v", "w", None]), p) for p in range(400) for _ in range(2) if r.random() < 0.8]
+    rows += rows[:5]
+    expected, held = Counter(), defaultdict(set)
+    for e, v, p in rows:
+        held[(e, v)].add(p)
+    for (e, v), ps in held.items():
+        for p in ps:
+            if p - 1 not in ps:
+                end = p
+                while end + 1 in ps:
+                    end += 1
+                expected[(e, v, p, end)] += 1
+    out = history.intervals(spark.createDataFrame(rows, "e string, v string, pos long"), ["e"], ["v"], "pos")
+    assert got(out) == expected
+
+
+# -- differences of copies --------------------------------------------------------
+
+KEYS = ["path", "mtime", "algo", "hash", "size", "inode"]
+
+
+def brute_differences(left, right):
+    def by_id(rows):
+        out = {}
+        for r in rows:
+            if r[0] is not None:
+                key = tuple((v is not None, v) for v in r[1:7])
+                if r[0] not in out or key < out[r[0]][0]:
+                    out[r[0]] = (key, r)
+        return {k: v[1] for k, v in out.items()}
+
+    a, b, out = by_id(left), by_id(right), Counter()
+    for k in a.keys() | b.keys():
+        if k not in b:
+            out[(k, "l")] += 1
+        elif k not in a:
+            out[(k, "r")] += 1
+        else:
+            for i, f in enumerate(KEYS):
+                x, y = a[k][i + 1], b[k][i + 1]
+                if not (x == y or (x != x and y != y and x is not None and y is not None)):
+                    out[(k, f)] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_differences(spark, seed):
+    r = random.Random(seed)
+    left = files_rows(200, seed)
+    right = [x if r.random() < 0.7 else (x[0], *files_rows(1, r.random())[0][1:]) for x in left if r.random() < 0.9]
+    right += [(1001, *right[0][1:]), (None, *right[1][1:])] + right[:30] * 2
+    left += left[:9] + [(None, *left[0][1:]), (3000, "p", float("nan"), "a", "h", 1, "i", 1.0)]
+    right.append((3000, "p", float("nan"), "a", "h", None, "i", 2.0))
+    r.shuffle(right)
+    out = compare.differences(frame(spark, left), frame(spark, right), "id", KEYS, "l", "r", bucket_rows=20)
+    assert got(out) == brute_differences(left, right)
+
+
+def test_rows_of_one_key_that_differ_are_compared_by_the_smallest(spark):
+    left = [(1, "b", 1.0, "a", "h", 1, "i", 1.0), (1, None, 1.0, "a", "h", 1, "i", 1.0)]
+    right = [(1, None, 1.0, "a", "h", 1, "i", 1.0)]
+    assert compare.differences(frame(spark, left), frame(spark, right), "id", KEYS).count() == 0
+
+
+def test_differences_with_an_empty_side(spark):
+    none, some = spark.createDataFrame([], FILES), frame(spark, files_rows(5, 1))
+    assert compare.differences(none, none, "id", KEYS).count() == 0
+    assert {r["field"] for r in compare.differences(some, none, "id", KEYS).collect()} == {"not_in_right"}
+    assert compare.differences(none, some, "id", KEYS).count() == 5
+
+
+# -- totals per key ----------------------------------------------------------------
+
+@pytest.mark.parametrize("fan_in,parts", [(2, 9), (64, 3), (3, 30)])
+def test_tree_totals(spark, fan_in, parts):
+    r = random.Random(fan_in)
+    rows = [(r.choice(["hot", "hot", "a", "b", None]), r.choice([1, 2, None, 2**62])) for _ in range(500)]
+    n, total = Counter(), Counter()
+    for k, v in rows:
+        n[k] += 1
+        total[k] += v or 0
+    df = spark.createDataFrame(rows, "hash string, size long").repartition(parts)
+    out = treeagg.tree_totals(df, ["hash"], "size", fan_in)
+    assert {r["hash"]: (r["n_rows"], int(r["total"])) for r in out.collect()} == {k: (n[k], total[k]) for k in n}
+    heavy = {r[0] for r in treeagg.heavy_keys(out, 500, 30).collect()}
+    assert heavy == {k for k in n if k is not None and n[k] * 100 >= 500 * 30}
+
+
+def test_tree_totals_of_nothing(spark):
+    assert treeagg.tree_totals(spark.createDataFrame([], "hash string, size long"), ["hash"], "size").count() == 0
+
+
+# -- references ----------------------------------------------------------------------
+
+@pytest.mark.parametrize("seed,is_hot", [(1, False), (2, False), (3, True)])
+def test_broken_references(spark, seed, is_hot, request, monkeypatch):
+    if is_hot:
+        request.getfixturevalue("hot")
+    monkeypatch.setattr(references, "BLOCK", 16)
+    r = random.Random(seed)
+    parents = [(k, r.choice([None, 10.0, 2.7e6, 5.3e6])) for k in range(-40, 200) if r.random() < 0.7]
+    parents += [(None, 1.0), parents[0], (parents[1][0], 1.0)]
+    links = [(r.choice([1, 2, None]), r.choice([None, 7, 7, 7, r.randrange(-60, 230)]), r.choice([None, 1.0, 3e6, 6e6])) for _ in range(500)]
+    came = {}
+    for k, t in parents:
+        if k is not None:
+            came.setdefault(k, []).append(t)
+    expected = set()
+    for s, f, t in links:
+        if f is None:
+            continue
+        month = None if t is None else {0: "1970-01", 1: "1970-02", 2: "1970-03"}[int(t // 2_678_400)]
+        if f not in came:
+            expected.add((s, f, month, "missing"))
+        else:
+            known = [x for x in came[f] if x is not None]
+            if t is not None and known and t < min(known):
+                expected.add((s, f, month, "late"))
+    df = frame(spark, links, "snapshot_id long, file_id long, linked_at double")
+    refs = references.combined(df, ["snapshot_id", "file_id"], "linked_at")
+    out = references.broken_references(refs, "file_id", frame(spark, parents, "id long, updated_at double"), "id", "updated_at")
+    assert got(out.select("snapshot_id", "file_id", "period", "problem")) == Counter(expected)
+
+
+def test_references_without_parents_or_links(spark):
+    links = spark.createDataFrame([(1, 2, 3.0), (1, None, 3.0)], "snapshot_id long, file_id long, linked_at double")
+    none = spark.createDataFrame([], "id long, updated_at double")
+    refs = references.combined(links, ["snapshot_id", "file_id"], "linked_at")
+    assert [r["problem"] for r in references.broken_references(refs, "file_id", none, "id", "updated_at").collect()] == ["missing"]
+    no_refs = references.combined(links.limit(0), ["snapshot_id", "file_id"], "linked_at")
+    assert references.broken_references(no_refs, "file_id", none, "id", "updated_at").count() == 0
+
+
+# -- snapshots ------------------------------------------------------------------------
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_snapshot_changes(spark, seed):
+    r = random.Random(seed)
+    snaps = [(i, r.choice(["t", "u", None]), r.choice([None, 1.0, 2.0, 3.0, 4.0])) for i in range(12)]
+    rows = [(k, r.choice(["a", "b", "c", None]), r.choice(["md5", None]), r.choice(["h", "i", None])) for k in range(40)]
+    links = [(r.choice([s[0] for s in snaps if s[0] != 3] + [99, None]), r.choice([*range(45), None])) for _ in range(120)]
+    links += links[:10]
+    by_id = {k: row for k, *row in rows}
+    text = lambda h: None if h is None else h
+    held = defaultdict(lambda: defaultdict(set))
+    for s, f in links:
+        if s is not None and f in by_id:
+            p, a, h = by_id[f]
+            held[s][(p, a)].add(text(h))
+    from hashlib import md5
+    digest = lambda h: md5(f"={h}".encode()).hexdigest()
+    best = lambda hs: max((digest(h) for h in hs if h is not None), default=None)
+    expected = Counter()
+    for tree in ("t", "u"):
+        order = sorted((c, i) for i, p, c in snaps if p == tree and c is not None)
+        for (_, before), (_, now) in zip(order, order[1:]):
+            for k in held[before].keys() | held[now].keys():
+                x, y = held[before].get(k), held[now].get(k)
+                if x is None:
+                    expected[(now, *k, "added")] += 1
+                elif y is None:
+                    expected[(now, *k, "removed")] += 1
+                elif best(x) and best(y) and best(x) != best(y):
+                    expected[(now, *k, "changed")] += 1
+    out = snapdiff.snapshot_changes(frame(spark, snaps, "id long, path string, created_at double"), frame(spark, links, "snapshot_id long, file_id long"),
+                                    frame(spark, rows, "id long, path string, algo string, hash string"), ["path", "algo"], ["hash"])
+    assert got(out) == expected
+
+
+def test_changes_of_no_snapshots(spark):
+    out = snapdiff.snapshot_changes(spark.createDataFrame([], "id long, path string, created_at double"), spark.createDataFrame([(1, 1)], "snapshot_id long, file_id long"),
+                                    spark.createDataFrame([(1, "a", "b", "c")], "id long, path string, algo string, hash string"), ["path", "algo"], ["hash"])
+    assert out.count() == 0
