@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.operators.skew import MAX_HOT, MIN_ROWS, salt_lookup, salt_rows
+from siltmark.operators import skew
+from siltmark.operators.skew import salt_lookup, salt_rows
 from siltmark.session import cut
 
 SALTS = 64
@@ -71,8 +72,8 @@ def groups(found: DataFrame) -> DataFrame:
 
 
 def _hot(keys: DataFrame, key: str, n: str, total: int) -> list:
-    """Keys that hold more than a thousandth: fewer than MAX_HOT of them."""
-    return [r[0] for r in keys.filter(F.col(n) > max(MIN_ROWS, total // MAX_HOT)).select(key).collect()]
+    """Keys that hold more than a thousandth: fewer than ``MAX_HOT`` of them."""
+    return [r[0] for r in keys.filter(F.col(n) > max(skew.MIN_ROWS, total // skew.MAX_HOT)).select(key).collect()]
 
 
 def copies(rows: DataFrame, id_col: str, raw: dict[str, Column], canonical) -> DataFrame:
