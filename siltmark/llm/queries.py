@@ -86,7 +86,7 @@ QUERIES = {f.__name__: f for f in (
     p3_found, p3_copies, p8_found, p8_packing, p8_fill, p9_found, p9_mix, p9_shares, p10_found, p10_documents, p10_words)}
 
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
-_SIGN = r"""[\s"''`«»“”‘’„‚‹›]*[=:]"""
+_SIGN = r"""[\s\p{Z}"''`«»“”‘’„‚‹›]*[=:]"""
 
 
 def _field_sql(name: str) -> str:

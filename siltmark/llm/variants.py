@@ -40,7 +40,7 @@ def line_field(line: Column, name: str, names: list[str]) -> Column:
     """The text after ``name`` and its = or :, up to the next name; null if the
     line does not name it. Every step of the patterns moves on by a character,
     so time is linear in the length of the line."""
-    sign = r"[\s\"'`«»“”‘’„‚‹›]*[=:]"
+    sign = r"[\s\p{Z}\"'`«»“”‘’„‚‹›]*[=:]"
     rest = r"(?=[^\p{L}\p{N}](?:" + "|".join(names) + ")" + sign + r"|\z)"
     pattern = r"(?is)(?:\A|[^\p{L}\p{N}])" + name + sign + "(.*?)" + rest
     return F.when(F.regexp_like(line, F.lit(pattern)), F.regexp_extract(line, pattern, 1))

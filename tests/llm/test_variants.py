@@ -62,6 +62,7 @@ LINES = [
     "[PATH: /a/hash_b.txt] [inode: #12] [size: 5] [algo: md5] [hash: ab]",
     "path :/a/hash b.txt\tinode :12\tsize :5\talgo :md5\thash :ab.",
     "path = '/a/hash b.txt',inode = '12',size = '5',algo = 'md5',hash = 'ab' ",
+    "«path»\u00a0= /a/hash b.txt; inode\u3000= 12; size = 5; algo = md5; hash = ab",
     "path=/a/hash b.txt; inode=12; size=6; algo=md5; hash=ab",
     "path=/a/hash b.txt; inode=12; size=5; algo=md5",
     "path=/a/hash b.txt; inode=12; size=5; algo=md5; hash=",
@@ -72,7 +73,7 @@ LINES = [
 def test_lines_in_several_notations(spark):
     df = spark.createDataFrame([(i + 1, x) for i, x in enumerate(LINES + LINES[:1])], "line_id long, line string")
     out = got(variants.copies(df, "line_id", *variants.entry_lines()))
-    assert out == Counter({(1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 5): 1, (1, 13): 1, (9, 10): 1, (9, 11): 1, (9, 12): 1})
+    assert out == Counter({(1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 5): 1, (1, 6): 1, (1, 14): 1, (10, 11): 1, (10, 12): 1, (10, 13): 1})
 
 
 def test_very_long_values(spark):
@@ -90,7 +91,7 @@ def test_field_texts(spark):
     df = spark.createDataFrame([(x,) for x in LINES if x], "line string")
     names = variants.LINE_FIELDS
     rows = df.select("line", *[variants.line_field(F.col("line"), f, names).alias(f) for f in names]).collect()
-    start = re.compile(r"(?i)(?:\A|[\W_])(path|inode|size|algo|hash)[\s\"']*[=:]")
+    start = re.compile(r"(?i)(?:\A|[\W_])(path|inode|size|algo|hash)[\s\"'«»]*[=:]")
     for r in rows:
         marks = list(start.finditer(r["line"]))
         want = {m[1].lower(): r["line"][m.end():(marks[i + 1].start() if i + 1 < len(marks) else None)] for i, m in enumerate(marks)}
