@@ -57,8 +57,14 @@ def matches_glob(path: Column, pattern: str) -> Column:
 
 
 def ignored_regex(patterns: list[str] = IGNORED, end: str = r"\z") -> str:
-    """Patterns are tied to the end of a path but may start anywhere in it."""
-    return "|".join(f"(?:(?s:{glob_regex(p)}){end})" for p in patterns)
+    """Patterns are tied to the end of a path but may start anywhere in it; so a
+    star at the start says nothing, and one at the end unties it."""
+    loose = [glob_regex(p.strip("*")) for p in patterns if p.endswith("*")]
+    tied = [glob_regex(p.lstrip("*")) for p in patterns if not p.endswith("*")]
+    if "" in loose:
+        return "(?s:)"  # a lone star
+    parts = loose + ([f"(?:{'|'.join(tied)}){end}"] if tied else [])
+    return f"(?s:{'|'.join(parts)})" if parts else r"(?!)"
 
 
 def is_ignored(path: Column, patterns: list[str] = IGNORED) -> Column:
@@ -74,12 +80,13 @@ def ancestors(path: Column) -> Column:
 
 def is_pruned(path: Column, root: str, patterns: list[str] = IGNORED) -> Column:
     """A file beneath ``root`` is left out if its name or the absolute path of a
-    directory between root and file is ignored."""
+    directory between root and file is ignored. Directories are looked at one
+    by one only if some part of the path would do."""
     name = basename(path)
-    regex = F.lit(ignored_regex(patterns))
+    maybe = path.rlike(ignored_regex(patterns, "/"))
     root = root.rstrip("/") or "/"
     inside = F.filter(ancestors(path), lambda d: (d == root) | d.startswith(root.rstrip("/") + "/"))
-    return is_ignored(name, patterns) | F.exists(inside, lambda d: F.regexp_like(d, regex))
+    return is_ignored(name, patterns) | maybe & F.exists(inside, lambda d: is_ignored(d, patterns))
 
 
 def basename(path: Column) -> Column:

@@ -1,8 +1,9 @@
 """Finding and splitting hot keys.
 
-A key is hot if it holds more than 1/``MAX_HOT`` of the rows (and more than
-``MIN_ROWS``): there are fewer than ``MAX_HOT`` such keys whatever the size of
-the input, so their list may go to the driver.
+A key of more than ``MIN_ROWS`` rows is hot if there are at most ``MAX_HOT`` such
+keys; if there are more, one that holds over 1/``MAX_HOT`` of all rows. Either
+way at most ``MAX_HOT`` keys are hot whatever the size of the input, so their
+list may go to the driver.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ def hot_keys(keys: DataFrame) -> list:
     """
     name = keys.columns[0]
     counts = keys.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    floor = max(MIN_ROWS, keys.count() // MAX_HOT)
-    return [r[0] for r in counts.filter((F.col("n") > floor) & F.col(name).isNotNull()).collect()]
+    big = counts.filter((F.col("n") > MIN_ROWS) & F.col(name).isNotNull()).select(name).limit(MAX_HOT + 1).collect()
+    if len(big) > MAX_HOT:
+        floor = max(MIN_ROWS, keys.count() // MAX_HOT)
+        big = counts.filter((F.col("n") > floor) & F.col(name).isNotNull()).select(name).collect()
+    return [r[0] for r in big]
 
 
 def is_hot(key: Column, hot: list) -> Column:
