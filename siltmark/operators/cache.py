@@ -7,6 +7,8 @@ a folder, each change one atomic commit.
 from __future__ import annotations
 
 import time
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +36,10 @@ def query(cache: DataFrame, pattern: str, algo: str | None = None, since: float
 
 def since_seconds(spark: SparkSession, text: str) -> float:
     """Epoch seconds of an ISO time; without offset, in the session's zone."""
-    value = spark.range(1).select(F.try_to_timestamp(F.lit(text)).cast("double")).first()[0]
-    if value is None:
-        raise ValueError(f"not an ISO time: {text!r}")
-    return value
+    when = datetime.fromisoformat(text)  # ValueError if it is none
+    if when.tzinfo is None:
+        when = when.replace(tzinfo=ZoneInfo(spark.conf.get("spark.sql.session.timeZone")))
+    return when.timestamp()
 
 
 def lookup(entries: DataFrame, cache: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions.hashes import DEFAULT_ALGO, HASHES
-from siltmark.functions.paths import is_gzip
+from siltmark.functions.paths import is_gzip, uncompressed_path
 from siltmark.operators.skew import skew_join
 
 
@@ -85,10 +85,9 @@ def dedupe(target: DataFrame, source: DataFrame, algo: str = DEFAULT_ALGO, targe
 
 def uncompressed(manifest: DataFrame, size: str | None = None) -> DataFrame:
     """Paths and names without .gz; ``size`` is a column of unpacked sizes."""
-    from siltmark.functions.paths import uncompressed_path
-
-    out = manifest.withColumn("path", uncompressed_path(F.col("path"))).withColumn("name", uncompressed_path(F.col("name")))
-    return out.withColumn("size", F.when(is_gzip(manifest["path"]), F.coalesce(size, "size")).otherwise(F.col("size"))) if size else out
+    size_then = F.when(is_gzip(F.col("path")), F.coalesce(size, "size")).otherwise(F.col("size")) if size else F.col("size")
+    new = {"path": uncompressed_path(F.col("path")), "name": uncompressed_path(F.col("name")), "size": size_then}
+    return manifest.withColumns(new)  # all from the columns as they were
 
 
 def sidecar_hashes(entries: DataFrame, sidecars: DataFrame, algo: str = DEFAULT_ALGO) -> DataFrame:

@@ -37,7 +37,7 @@ def _last_wins(rows: DataFrame, value: str, order: Column) -> DataFrame:
 def read_json(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
     """Manifest of any layout: (path, fields). Each file is parsed whole; text
     that isn't JSON gives no rows; of repeated paths the last wins."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.map_entries(F.from_json("value", f"map<string, struct<{_colons(record_schema(extra))}>>"))
     rows = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(entries).alias("pos", "entry"))
     rows = rows.select(F.col("entry.key").alias("path"), F.col("entry.value").alias("record"), "file", "pos")
