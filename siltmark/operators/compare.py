@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 60_000
+BUCKET_ROWS = 16_000
 
 
 def _differs(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
