@@ -150,6 +150,11 @@ def cache_scan(spark, d):
     return _files(spark, d, *COLUMNS)
 
 
+@query
+def cache_ids(spark, d):
+    return table(spark, d, "files").select("id")
+
+
 @query
 def cache_query_glob(spark, d):
     return cache.query(_files(spark, d, *COLUMNS), GLOB, "xxh64")
@@ -232,6 +237,18 @@ def checksum_gen(spark, d):
     return folders.select(F.col("folder").alias("path"), "hash").unionByName(_hashed(spark, d))
 
 
+@query
+def checksum_path(spark, d):
+    """Files and their folders. A file's hash is taken from the manifest beside
+    it where that knows the file's time (here those in English), else computed."""
+    p = F.col("path")
+    docs = documents(spark, d).withColumn("name", P.basename(p)).withColumn("dirname", P.dirname(p))
+    beside = docs.filter(F.col("dirname").endswith("/en")).select(F.col("dirname").alias("folder"), F.col("name").alias("path"), "mtime", content_hash(F.col("content"), "md5").alias("md5"))
+    files = manifests.sidecar_hashes(docs, beside, "md5").select("path", F.coalesce("sidecar_hash", content_hash(F.col("content"), "md5")).alias("hash"))
+    folders = digests.folder_hashes(docs, "dirname", algo="md5").select(F.col("dirname").alias("path"), "hash")
+    return files.unionByName(folders)
+
+
 @query
 def composite_hash(spark, d):
     return digests.composite_hash(_hashed(spark, d), algo="md5")

@@ -135,6 +135,7 @@ a AS (SELECT id, path, parts[-1] AS name, list_transform(range(0, len(parts)), l
 SELECT id, path FROM a WHERE NOT {_ignored('name')} AND NOT list_bool_or(list_transform(above, lambda q: {_ignored('q')}))""",
     "drop_falsy": f"WITH {_M1} SELECT path, hash FROM m1 WHERE algo = 'xxh64' AND hash <> ''",
     "cache_scan": f"SELECT id, {_COLS} FROM files",
+    "cache_ids": "SELECT id FROM files",
     "cache_query_glob": f"SELECT id, {_COLS} FROM files WHERE algo = 'xxh64' AND regexp_full_match(path, '(?s)/srv/.*/prj_0[0-4].*/..*/[^x].*\\.m.*')",
     "cache_query_exact": f"SELECT id, {_COLS} FROM files WHERE path = (SELECT max(path) FROM files)",
     "cache_query_since": f"SELECT id, {_COLS} FROM files WHERE algo = 'md5' AND updated_at >= {SINCE}",
@@ -152,6 +153,8 @@ SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.path = b.path AN
     "checksum_file": f"WITH {_DOCS} SELECT path, sha256(text) AS hash, {_BYTES} AS size FROM docs",
     "folder_hash": f"WITH {_DOCS} SELECT regexp_extract(path, '^/[^/]*/[^/]*') AS folder, md5(string_agg(text, '' ORDER BY path)) AS hash FROM docs GROUP BY 1",
     "checksum_gen": f"{_FOLDERS} SELECT folder AS path, md5(string_agg(text, '' ORDER BY path)) AS hash FROM e GROUP BY folder UNION ALL SELECT path, md5(text) FROM docs",
+    "checksum_path": f"""WITH {_DOCS} SELECT path, md5(text) AS hash FROM docs
+UNION ALL SELECT regexp_replace(path, '/[^/]*$', ''), md5(string_agg(text, '' ORDER BY path)) FROM docs GROUP BY 1""",
     "composite_hash": f"WITH {_DOCS} SELECT md5(string_agg(path || ':' || md5(text), chr(10) ORDER BY path, md5(text))) AS hash FROM docs",
     "dedupe_paths": f"WITH {_DOCS} SELECT md5(text) AS hash, count(*) OVER (PARTITION BY md5(text)) AS n_files, path FROM docs QUALIFY n_files > 1",
     "dedupe_overlap": f"""WITH {_DOCS}, u AS (SELECT text, path FROM docs UNION ALL SELECT text, path FROM docs WHERE starts_with(path, '/data/askbench/'))

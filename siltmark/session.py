@@ -4,13 +4,16 @@ access to the cluster's file system."""
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,27 +27,41 @@ def shared_root(spark: SparkSession) -> str:
     if not base:
         base = sc.getCheckpointDir()
     if not base:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siltmark-"))
+        _own.append(tempfile.mkdtemp(prefix="siltmark-"))
+        sc.setCheckpointDir("file://" + _own[-1])
         base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when this process ends."""
+    """A new path in the shared folder, removed by ``release`` or when this process
+    ends."""
     path = f"{shared_root(spark)}/siltmark/{label}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
     _written.append((spark, path))
     return path
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                filesystem(spark, path).delete(hadoop_path(spark, path), True)
-        except Exception:  # the JVM may be gone already
-            return
+def release() -> None:
+    """Remove what has been written so far; results that were to be read from it
+    must have been used up."""
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is not None:
+            drop_path(spark, path)
+        elif path.startswith(("/", "file:")):  # the session has ended
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
+
+
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the JVM may be gone already
+        pass
+    for folder in _own:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+atexit.register(_at_exit)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
