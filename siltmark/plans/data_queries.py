@@ -3,10 +3,12 @@ the SQL each is checked against."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltmark.operators import compare, history, incremental, references, snapdiff, treeagg
+from siltmark.operators.versioned import VersionedTable
+from siltmark.session import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,18 @@ def p1_run_sizes(spark, d):
     return sizes.join(new.groupBy("run_id").agg(F.count(F.lit(1)).alias("new_rows")), "run_id", "left").fillna(0)
 
 
+def p1_deltas(spark, d):
+    """Net rows inserted and deleted over three commits: a first load, a deletion
+    of one algorithm's rows by deletion vectors, and its rows from the replica."""
+    columns = ["id", *FIELDS]
+    ours, theirs = (table(spark, d, n).select(*columns) for n in ("files", "files_replica"))
+    t = VersionedTable(spark, shared_path(spark, "deltas"), ours.schema)
+    since = t.append(ours)
+    t.delete(F.col("algo") == "crc32")
+    until = t.append(theirs.filter("algo = 'crc32'"))
+    return t.changes(since, until, net=True).withColumnRenamed("_change", "change")
+
+
 def p2_versions(spark, d):
     return history.versions(table(spark, d, "files"), ["path", "algo"], ["mtime", "hash"], "id", "updated_at", ["hash"])
 
@@ -47,7 +61,6 @@ def p2_history(spark, d):
 def p2_membership(spark, d):
     """Periods, in snapshots of a tree, during which a path had a hash."""
     order = table(spark, d, "snapshots").filter("created_at is not null")
-    from pyspark.sql import Window
     at = F.row_number().over(Window.partitionBy("path").orderBy("created_at", "id")) - 1
     order = order.select(F.col("id").alias("snapshot_id"), F.col("path").alias("tree"), at.cast("long").alias("pos"))
     links = table(spark, d, "snapshot_files").select("snapshot_id", "file_id").distinct()
@@ -99,9 +112,10 @@ def p7_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_run_sizes, p2_found, p2_history, p2_membership, p4_found, p4_summary, p5_found, p5_totals,
+    p1_found, p1_run_sizes, p1_deltas, p2_found, p2_history, p2_membership, p4_found, p4_summary, p5_found, p5_totals,
     p6_found, p6_by_period, p7_found, p7_counts)}
 
+_ROW = ", ".join(["id", *FIELDS])
 _NEW = """
 WITH ok AS (SELECT run_id, cutoff FROM sync_runs WHERE status = 'ok' AND cutoff IS NOT NULL),
 seen AS (SELECT *, row_number() OVER (PARTITION BY path, algo, mtime, hash, size ORDER BY updated_at, id) AS rn
@@ -142,6 +156,9 @@ c AS (SELECT coalesce(n.at, t.at) AS snapshot_id, coalesce(n.path, t.path) AS pa
 ORACLES = {
     "p1_found": _NEW + "SELECT run_id, id AS file_id FROM given WHERE rn = 1 AND run_id <> 1",
     "p1_run_sizes": _NEW + "SELECT run_id, count(*) AS delivered, count(*) FILTER (rn = 1) AS new_rows FROM given WHERE run_id IS NOT NULL GROUP BY run_id",
+    "p1_deltas": "".join(
+        f"{glue}SELECT *, '{change}' AS change FROM (SELECT {_ROW} FROM {a} WHERE algo = 'crc32' EXCEPT ALL SELECT {_ROW} FROM {b} WHERE algo = 'crc32')"
+        for glue, change, a, b in (("", "delete", "files", "files_replica"), (" UNION ALL ", "insert", "files_replica", "files"))),
     "p2_found": _VERSIONS + "SELECT id AS file_id, version_no, coalesce(nid, 0) AS closed_by FROM v WHERE n >= 2",
     "p2_history": _VERSIONS + "SELECT path, algo, version_no, mtime, hash, updated_at AS valid_from, nat AS valid_to, id AS file_id FROM v",
     "p2_membership": """
