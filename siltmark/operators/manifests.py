@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.hashes import DEFAULT_ALGO, HASHES
 from siltmark.functions.paths import is_gzip, uncompressed_path
-from siltmark.operators.skew import skew_join
 
 
 def algos_of(manifest: DataFrame) -> list[str]:
@@ -57,12 +56,14 @@ def verify(manifest: DataFrame, live: DataFrame, gzip_fallback: bool = False) ->
 def compare(source: DataFrame, other: DataFrame, algo: str = DEFAULT_ALGO) -> DataFrame:
     """(algo, hash, path) of source entries with no match: the same path and
     hash, or the same name and hash, null equal to null. Two anti joins on
-    equality, as neither-nor, in place of one on a disjunction."""
+    equality, as neither-nor, in place of one on a disjunction; their right sides
+    have a row per key, so the adaptive planner can split a hot key on the left."""
     rows = source.select("path", "name", F.col(algo).alias("hash"))
     theirs = other.select("path", "name", F.col(algo).alias("hash"))
     left = rows.join(theirs.select("path", F.col("hash").alias("h")).distinct().withColumnRenamed("path", "p"),
                      (F.col("path") == F.col("p")) & F.col("hash").eqNullSafe(F.col("h")), "left_anti")
-    left = skew_join(left, theirs.select("name", "hash").distinct(), ["name", "hash"], "left_anti")
+    named = theirs.select(F.col("name").alias("n"), F.col("hash").alias("h")).distinct()
+    left = left.join(named, F.col("name").eqNullSafe(F.col("n")) & F.col("hash").eqNullSafe(F.col("h")), "left_anti")
     return left.select(F.lit(algo).alias("algo"), "hash", "path")
 
 
