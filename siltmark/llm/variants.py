@@ -13,8 +13,10 @@ of which joins by those keys; keys that hold more than a thousandth of the rows
 are spread over salts.
 
 Defined results: a null value is alike to null only; an empty text, or one
-without letters and digits, is alike to every other such text; of copies the
-smallest id is kept, and equal ids are one row; an empty table gives no rows.
+without letters and digits, is alike to every other such text; a line that
+does not name a field differs from one that names it without a text; lines that
+name no field are alike; of copies the smallest id is kept, and equal ids are
+one row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,14 +38,25 @@ def letters_digits(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
 
 
-def line_field(line: Column, name: str, names: list[str]) -> Column:
-    """The text after ``name`` and its = or :, up to the next name; null if the
-    line does not name it. Every step of the patterns moves on by a character,
-    so time is linear in the length of the line."""
+#: Stand before a field's name, and between name and text.
+_FIELD, _TEXT = "\x01", "\x02"
+
+
+def marked_fields(line: Column, names: list[str] = LINE_FIELDS) -> Column:
+    """The line with every name of a field, and its = or :, between two control
+    characters. One pass; the pattern never looks further back than one
+    character, so time is linear in the length of the line."""
     sign = r"[\s\p{Z}\"'`«»“”‘’„‚‹›]*[=:]"
-    rest = r"(?=[^\p{L}\p{N}](?:" + "|".join(names) + ")" + sign + r"|\z)"
-    pattern = r"(?is)(?:\A|[^\p{L}\p{N}])" + name + sign + "(.*?)" + rest
-    return F.when(F.regexp_like(line, F.lit(pattern)), F.regexp_extract(line, pattern, 1))
+    pattern = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(names) + ")" + sign
+    return F.regexp_replace(F.translate(line, _FIELD + _TEXT, "  "), pattern, f"{_FIELD}$1{_TEXT}")
+
+
+def fields_in_order(line: Column, names: list[str] = LINE_FIELDS) -> Column:
+    """Canonical text of a line: its fields' letters and digits in lower case,
+    the fields sorted by name. What stands before the first name is ignored."""
+    plain = F.regexp_replace(F.lower(marked_fields(line, names)), r"[^\p{L}\p{N}\x01\x02]+", "")
+    parts = F.split(plain, _FIELD)
+    return F.array_join(F.array_sort(F.slice(parts, F.lit(2), F.size(parts))), _FIELD)
 
 
 def text_key(*columns: Column) -> Column:
@@ -104,4 +117,4 @@ def file_rows() -> tuple[dict[str, Column], object]:
 
 def entry_lines() -> tuple[dict[str, Column], object]:
     """Raw column and canonical form of lines naming the five fields."""
-    return {"line": F.col("line")}, lambda c: [letters_digits(line_field(c["line"], f, LINE_FIELDS)) for f in LINE_FIELDS]
+    return {"line": F.col("line")}, lambda c: [fields_in_order(c["line"])]
