@@ -28,14 +28,22 @@ C4_ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 C4_DIGITS = 88
 
 
+_PAIRS = [a + b for a in C4_ALPHABET for b in C4_ALPHABET]
+_CHUNK = 58**10
+
+
 def c4_text(digest: bytes) -> str:
     """Identifier of a SHA-512 digest: the number in base 58 after "c4", filled
-    up on the right with the digit of zero."""
-    n, digits = int.from_bytes(digest, "big"), []
+    up on the right with the digit of zero. Ten digits are split off the large
+    number at a time, and taken apart by twos."""
+    n, texts = int.from_bytes(digest, "big"), []
     while n:
-        n, d = divmod(n, 58)
-        digits.append(C4_ALPHABET[d])
-    return "c4" + "".join(reversed(digits)).ljust(C4_DIGITS, C4_ALPHABET[0])
+        n, chunk = divmod(n, _CHUNK)
+        for _ in range(5):
+            chunk, pair = divmod(chunk, 58 * 58)
+            texts.append(_PAIRS[pair])
+    zero = C4_ALPHABET[0]
+    return "c4" + "".join(reversed(texts)).lstrip(zero).ljust(C4_DIGITS, zero)
 
 
 @pandas_udf(T.StringType())
