@@ -60,6 +60,13 @@ def test_c4_texts_read_back(digest):
     assert value == n
 
 
+def test_many_c4_texts_at_once():
+    r = random.Random(1)
+    digests = [r.randbytes(64) for _ in range(500)] + [bytes(64), bytes(63) + b"\1", b"\0\0" + r.randbytes(62), b"\xff" * 64, bytes(62) + b"\x3a\0"]
+    assert H.c4_texts(b"".join(digests)) == [H.c4_text(d) for d in digests]
+    assert H.c4_texts(b"") == []
+
+
 def test_registry(spark):
     with pytest.raises(ValueError):
         H.content_hash(F.lit(b""), "nope")
