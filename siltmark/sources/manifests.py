@@ -8,6 +8,7 @@ are one JSON object with a record per line.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from siltmark.functions.hashes import DEFAULT_ALGO, HASHES
 from siltmark.functions.paths import relative_path, utc_stamp
+from siltmark.session import filesystem, hadoop_path
 
 #: Names and order of the fields of a manifest record.
 STAT_TYPES = {"name": "string", "dirname": "string", "atime": "double", "ctime": "double", "mtime": "double", "ino": "bigint",
@@ -80,9 +82,26 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
                        F.coalesce("md5", F.lit("")).alias("md5"))
 
 
+def _write(rows: DataFrame, out: str, single: bool, order: list[str], save: Callable[[DataFrame, str], None]) -> None:
+    """A folder of parts, or one file: that is written by one task in a folder
+    beside it and then put in its place."""
+    if not single:
+        save(rows.orderBy(*order) if order else rows, out)
+        return
+    spark, folder = rows.sparkSession, f"{out}.{uuid.uuid4().hex}"
+    save(rows.repartition(1).sortWithinPartitions(*order) if order else rows.repartition(1), folder)
+    fs, target = filesystem(spark, out), hadoop_path(spark, out)
+    parts = [s.getPath() for s in fs.listStatus(hadoop_path(spark, folder)) if s.getPath().getName().startswith("part-")]
+    fs.delete(target, True)
+    if parts:
+        fs.rename(parts[0], target)
+    else:
+        fs.create(target).close()
+    fs.delete(hadoop_path(spark, folder), True)
+
+
 def _save(lines: DataFrame, out: str, single: bool, order: list[str]) -> None:
-    lines = lines.repartition(1).sortWithinPartitions(*order) if single else lines.orderBy(*order)
-    lines.select("value").write.mode("overwrite").text(out)
+    _write(lines, out, single, order, lambda df, to: df.select("value").write.mode("overwrite").text(to))
 
 
 def write_json(df: DataFrame, out: str, single: bool = False) -> None:
@@ -117,9 +136,8 @@ def write_xml(df: DataFrame, out: str, single: bool = False) -> None:
     fields = [c for c in df.columns if c != "path"]
     cells = [(utc_stamp(F.col(c)) if "date" in XML_DATES.get(c, c) else F.col(c).cast("string")).alias(XML_DATES.get(c, c)) for c in reversed(fields)]
     rows = df.select(*cells, utc_stamp(F.unix_timestamp().cast("double")).alias("hashdate"), relative_path(F.col("path"), os.path.dirname(out)).alias("file"))
-    rows = rows.repartition(1).sortWithinPartitions("file") if single else rows
     options = {"rootTag": f'hashlist version="{XML_VERSION}"', "rowTag": "hash", "declaration": 'version="1.0" encoding="UTF-8"'}
-    rows.write.mode("overwrite").format("xml").options(**options).save(out)
+    _write(rows, out, single, ["file"] if single else [], lambda df, to: df.write.mode("overwrite").format("xml").options(**options).save(to))
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {".json": read_json, ".txt": read_txt, ".mhl": read_xml}
