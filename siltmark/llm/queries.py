@@ -24,6 +24,13 @@ def p3_copies(spark, d):
     return variants.groups(found).drop("canon")
 
 
+def p3_records(spark, d):
+    """One record per entry of both tables, with its number of copies and spellings."""
+    files = variants.groups(variants.survivors(_table(spark, d, "files"), "id", *variants.file_rows())).withColumn("tbl", F.lit("files"))
+    lines = variants.groups(variants.survivors(_table(spark, d, "raw_lines"), "line_id", *variants.entry_lines())).withColumn("tbl", F.lit("raw_lines"))
+    return files.unionByName(lines).select("tbl", "keep_id", "copies", "spellings")
+
+
 def _sized(spark, d, *keep):
     return tokens.token_sizes(_table(spark, d, "documents"), "text", list(keep))
 
@@ -83,7 +90,7 @@ def p10_found(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p3_found, p3_copies, p8_found, p8_packing, p8_fill, p9_found, p9_mix, p9_shares, p10_found, p10_documents, p10_words)}
+    p3_found, p3_copies, p3_records, p8_found, p8_packing, p8_fill, p9_found, p9_mix, p9_shares, p10_found, p10_documents, p10_words)}
 
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _SIGN = r"""[\s\p{Z}"''`«»“”‘’„‚‹›]*[=:]"""
@@ -110,4 +117,9 @@ UNION ALL SELECT 'raw_lines', line_id, min(line_id) OVER (PARTITION BY path, ino
 SELECT tbl, keep_id, copy_id FROM a WHERE keep_id <> copy_id""",
     "p3_copies": f"""WITH {_LINES} SELECT min(line_id) AS keep_id, count(*) AS copies, count(DISTINCT line) AS spellings
 FROM lines JOIN raw_lines USING (line_id) GROUP BY path, inode, size, algo, hash""",
+    "p3_records": f"""WITH {_LINES}
+SELECT 'files' AS tbl, min(id) AS keep_id, count(*) AS copies, count(DISTINCT (path, inode)) AS spellings
+FROM files GROUP BY {_LETTERS.format('path')}, {_LETTERS.format('inode')}, algo, mtime, hash, size
+UNION ALL SELECT 'raw_lines', min(line_id), count(*), count(DISTINCT line)
+FROM (SELECT lines.*, line FROM lines JOIN raw_lines USING (line_id)) GROUP BY path, inode, size, algo, hash""",
 }

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.llm import variants
+from siltmark.llm import queries, variants
 
 FILES = "id long, path string, inode string, algo string, mtime double, hash string, size long, tbl string, n long, canon string"
 
@@ -56,6 +56,20 @@ def test_counts_are_whole(spark):
     assert sorted(r["copies"] for r in out) == sorted(expected.values())
 
 
+def test_records_of_both_tables(spark, tmp_path):
+    rows = make(200, 4)
+    spark.createDataFrame(rows, FILES).write.parquet(f"{tmp_path}/files.parquet")
+    lines = [(i + 1, x) for i, x in enumerate(LINES[:8] + LINES[:1])]
+    spark.createDataFrame(lines, "line_id long, line string").write.parquet(f"{tmp_path}/raw_lines.parquet")
+    groups = defaultdict(list)
+    for r in rows:
+        groups[(alnum(r[1]), alnum(r[2]), *r[3:7])].append(r)
+    expected = Counter(("files", min(r[0] for r in g), len(g), len({r[1:3] for r in g})) for g in groups.values())
+    expected.update([("raw_lines", 1, 7, 6), ("raw_lines", 7, 1, 1), ("raw_lines", 8, 1, 1)])
+    out = queries.p3_records(spark, str(tmp_path))
+    assert Counter(tuple(r) for r in out.select("tbl", "keep_id", "copies", "spellings").collect()) == expected
+
+
 LINES = [
     '{"path": "/a/Hash b.txt", "inode": "12", "size": 5, "algo": "md5", "hash": "AB"}',
     "hash=ab; ALGO=MD5; size=5; Inode=12; path=/a/hash b.txt;",
