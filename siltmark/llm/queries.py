@@ -86,7 +86,8 @@ def p10_words(spark, d):
 
 
 def p10_found(spark, d):
-    return _judged(spark, d).filter("words_fail").select("doc_id").distinct()
+    """Read from the written verdicts, so that hosts are judged and joined back."""
+    return cut(_judged(spark, d), "judged").filter("words_fail").select("doc_id").distinct()
 
 
 QUERIES = {f.__name__: f for f in (

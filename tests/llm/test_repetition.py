@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.llm import repetition
+from siltmark.llm import queries, repetition
 
 
 def brute_words(text, run=8):
@@ -78,6 +78,20 @@ def test_hosts_are_shrunk_and_joined_back(spark, is_hot, request):
     assert fails["spammy"] == 80
 
 
+def test_found_documents_come_from_the_joined_verdicts(spark, tmp_path, monkeypatch):
+    rows = [(1, "spam " * 30, "a"), (2, "spam " * 30, None), (3, "once only", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r[0] for r in queries.p10_found(spark, str(tmp_path)).collect()} == {1, 2}
+    verdicts = repetition.host_verdicts
+
+    def broken(judged, bad_rate):
+        return verdicts(judged, bad_rate).withColumn("host_bad", F.raise_error(F.lit("host judged")).cast("boolean"))
+
+    monkeypatch.setattr(repetition, "host_verdicts", broken)
+    with pytest.raises(Exception, match="host judged"):
+        queries.p10_found(spark, str(tmp_path)).collect()
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert repetition.judge(empty).count() == 0
