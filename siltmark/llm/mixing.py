@@ -57,11 +57,9 @@ def allocate(sized: DataFrame, targets: DataFrame, source: str, size: str, weigh
     """Per target source (source, share, repeats, tokens, goal, reachable), and
     per source and weight class (source, weight, whole, part). Both are of the
     size of the targets table times classes."""
-    goals: dict = {}
-    for s, share, repeats in targets.select("source", "target_share", "max_repeats").limit(MAX_CLASSES + 1).collect():
-        if s is not None:
-            old = goals.get(s, (0.0, 0))
-            goals[s] = (old[0] + (share or 0.0), max(old[1], 1 if repeats is None else repeats))
+    share, most = F.coalesce("target_share", F.lit(0.0)), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))
+    by_source = targets.filter("source is not null").groupBy("source").agg(F.sum(share), F.max(most))
+    goals = {s: (share, repeats) for s, share, repeats in by_source.limit(MAX_CLASSES + 1).collect()}
     if len(goals) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} target sources")
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)

@@ -91,3 +91,13 @@ def test_nulls_empty_and_repeated_targets(spark):
     assert mixed(spark, docs, []) == ([], {})
     used, report = mixed(spark, [], [("a", 0.5, 1)])
     assert used == [] and report["a"]["tokens_taken"] == 0 and report["a"]["reachable"]
+
+
+def test_many_rows_of_few_target_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CLASSES", 3)
+    docs = [(i, "ab"[i % 2], 10, None) for i in range(100)]
+    targets = [("a", 0.0625, 1)] * 4 + [("b", 0.125, 1), ("b", 0.25, 2), (None, 0.5, 1)]
+    _, report = mixed(spark, docs, targets)
+    assert {s: (r["target_share"], r["max_repeats"]) for s, r in report.items()} == {"a": (0.25, 1), "b": (0.375, 2)}
+    with pytest.raises(ValueError, match="target sources"):
+        mixed(spark, docs, [(s, 0.25, 1) for s in "abcd"])
