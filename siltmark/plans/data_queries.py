@@ -44,6 +44,18 @@ def p1_deltas(spark, d):
     return t.changes(since, until, net=True).withColumnRenamed("_change", "change")
 
 
+def p1_replica_deltas(spark, d):
+    """Net rows inserted and deleted when the replica replaces the table whole:
+    a first load, deletion vectors over all its rows, and the replica's rows."""
+    columns = ["id", *FIELDS]
+    ours, theirs = (table(spark, d, n).select(*columns) for n in ("files", "files_replica"))
+    t = VersionedTable(spark, shared_path(spark, "deltas"), ours.schema)
+    since = t.append(ours)
+    t.delete(F.lit(True))
+    until = t.append(theirs)
+    return t.changes(since, until, net=True).withColumnRenamed("_change", "change")
+
+
 def p2_versions(spark, d):
     return history.versions(table(spark, d, "files"), ["path", "algo"], ["mtime", "hash"], "id", "updated_at", ["hash"])
 
@@ -112,7 +124,7 @@ def p7_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_run_sizes, p1_deltas, p2_found, p2_history, p2_membership, p4_found, p4_summary, p5_found, p5_totals,
+    p1_found, p1_run_sizes, p1_deltas, p1_replica_deltas, p2_found, p2_history, p2_membership, p4_found, p4_summary, p5_found, p5_totals,
     p6_found, p6_by_period, p7_found, p7_counts)}
 
 _ROW = ", ".join(["id", *FIELDS])
@@ -159,6 +171,9 @@ ORACLES = {
     "p1_deltas": "".join(
         f"{glue}SELECT *, '{change}' AS change FROM (SELECT {_ROW} FROM {a} WHERE algo = 'crc32' EXCEPT ALL SELECT {_ROW} FROM {b} WHERE algo = 'crc32')"
         for glue, change, a, b in (("", "delete", "files", "files_replica"), (" UNION ALL ", "insert", "files_replica", "files"))),
+    "p1_replica_deltas": "".join(
+        f"{glue}SELECT *, '{change}' AS change FROM (SELECT {_ROW} FROM {a} EXCEPT ALL SELECT {_ROW} FROM {b})"
+        for glue, change, a, b in (("", "delete", "files", "files_replica"), (" UNION ALL ", "insert", "files_replica", "files"))),
     "p2_found": _VERSIONS + "SELECT id AS file_id, version_no, coalesce(nid, 0) AS closed_by FROM v WHERE n >= 2",
     "p2_history": _VERSIONS + "SELECT path, algo, version_no, mtime, hash, updated_at AS valid_from, nat AS valid_to, id AS file_id FROM v",
     "p2_membership": """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltmark.operators import compare, history, incremental, references, snapdiff, treeagg
 from siltmark.operators.versioned import CommitConflict, Consumer, VersionedTable
+from siltmark.plans import data_queries
 
 FILES = "id long, path string, mtime double, algo string, hash string, size long, inode string, updated_at double"
 
@@ -104,6 +105,17 @@ def test_deltas_between_any_two_versions(spark, tmp_path):
             assert {k: n for k, n in change.items() if n} == {k: n for k, n in expected.items() if n}, (a, b)
 
 
+def test_deltas_of_every_algo(spark, tmp_path):
+    ours = [r[:7] for r in files_rows(60, 5)]
+    theirs = [(*r[:3], "crc32" if r[0] % 10 == 0 else r[3], *r[4:]) for r in ours[5:]] + ours[7:9] * 3
+    for name, rows in (("files", ours), ("files_replica", theirs)):
+        spark.createDataFrame(rows, FILES.rpartition(",")[0]).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = data_queries.p1_replica_deltas(spark, str(tmp_path)).select("id", *data_queries.FIELDS, "change")
+    plain = lambda rows: Counter((r[0], r[1], r[2], r[3], r[4], r[5], r[6]) for r in rows)
+    gone, new = plain(ours) - plain(theirs), plain(theirs) - plain(ours)
+    assert got(out) == Counter({(*r, "delete"): n for r, n in gone.items()}) + Counter({(*r, "insert"): n for r, n in new.items()})
+
+
 def test_failed_run_leaves_no_progress(spark, tmp_path):
     src, out = versioned(spark, tmp_path, "s"), versioned(spark, tmp_path, "o")
     src.append(spark.createDataFrame([(1, "a")], "k long, v string"))
