@@ -5,7 +5,9 @@ cutoff, and then goes through the runs in their order. A run sees the last
 version within its cutoff. Only a run with status ``ok`` publishes, and it is
 given the delta between the version saved in the last output commit and the
 one it sees: what failed runs saw comes with the next good run, and a run
-whose cutoff went back gets nothing.
+whose cutoff went back gets nothing. What is new in a delta is decided against
+the records earlier runs have published, and published with the progress
+before the next run begins.
 
 Defined results: rows with null ``time`` are left out; a run with null or NaN
 cutoff, or null status, publishes nothing; rows that are alike in ``record``
@@ -16,13 +18,17 @@ columns (null equal to null) are new only once, at the first by ``time``, then
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltmark.operators.versioned import Consumer, VersionedTable
 from siltmark.session import shared_path
 
+BITS = 1 << 24
+
 
 def step_index(value: Column, bounds: list[float]) -> Column:
     """How many of the sorted ``bounds`` are less than ``value``: a balanced
@@ -37,10 +43,10 @@ def step_index(value: Column, bounds: list[float]) -> Column:
     return tree(0, len(bounds))
 
 
-def deliveries(rows: DataFrame, runs: DataFrame, order: str, time: str, record: list[str]) -> tuple[DataFrame, Consumer]:
-    """The delta each run is given, as the rows with ``run_id``, and the
-    consumer; ``runs`` (bounded: one row per run) has run_id, status, cutoff.
-    """
+def load(rows: DataFrame, runs: DataFrame, order: str, time: str, record: list[str]) -> tuple[VersionedTable, list[tuple]]:
+    """The source table, a version per cutoff, and (run, version it sees) of the
+    runs that publish; ``runs`` (bounded: one row per run) has run_id, status,
+    cutoff."""
     spark = rows.sparkSession
     names = list(dict.fromkeys([order, time, *record]))
     rows = rows.select(*names).filter(F.col(time).isNotNull())
@@ -52,33 +58,67 @@ def deliveries(rows: DataFrame, runs: DataFrame, order: str, time: str, record:
     version_of = {}
     for i, bound in enumerate(bounds):
         version_of[bound] = source.commit(added=slices.get(str(i), []), meta={"cutoff": bound}, parent=i)
+    return source, [(run, version_of[float(c)]) for run, status, c in log if status == "ok" and c is not None and not math.isnan(c)]
+
 
-    schema = rows.sparkSession.createDataFrame([], "run_id long").schema
-    consumer = Consumer(source, VersionedTable(spark, shared_path(spark, "output"), schema.add(order, rows.schema[order].dataType)))
-    consumer.steps = []  # (run, since, until) of the runs that publish
-    done, parts = consumer.processed(), []
-    for run, status, cutoff in log:
-        if status != "ok" or cutoff is None or math.isnan(cutoff):
-            continue
-        since, until = done, max(done, version_of[float(cutoff)])
-        consumer.steps.append((run, since, until))
-        if until > since:
-            parts.append(source.changes(since, until).withColumn("run_id", F.lit(run).cast("long")))
+def deliveries(rows: DataFrame, runs: DataFrame, order: str, time: str, record: list[str]) -> DataFrame:
+    """The deltas of all runs at once, as the rows with ``run_id``; nothing is
+    published."""
+    source, steps = load(rows, runs, order, time, record)
+    done, out = 0, source.read(0).withColumn("_change", F.lit("insert")).withColumn("run_id", F.lit(0).cast("long"))
+    for run, until in steps:
+        if until > done:
+            out = out.unionByName(source.changes(done, until).withColumn("run_id", F.lit(run).cast("long")))
             done = until
-    out = rows.limit(0).withColumn("_change", F.lit("insert")).withColumn("run_id", F.lit(0).cast("long"))
-    for i, part in enumerate(parts):
-        out = part if i == 0 else out.unionByName(part)
-    return out, consumer
+    return out
 
 
 def first_seen(delta: DataFrame, order: str, time: str, record: list[str], carry: list[str]) -> DataFrame:
-    """Of the rows alike in ``record`` the first by ``time``, then ``order``.
+    """Of the rows alike in ``record`` the first by ``time``, then ``order``:
+    ``order``, ``carry`` and the record's columns as ``__is_``.
 
     A minimum, combined in each task before the shuffle, so a record that was
     written again a billion times arrives as one row per task.
     """
     first = F.min(F.struct(time, order, *carry)).alias("__first")
-    return delta.groupBy(*record).agg(first).select(F.col(f"__first.{order}").alias(order), *[F.col(f"__first.{c}").alias(c) for c in carry])
+    found = delta.groupBy(*[F.col(c).alias(f"__is_{c}") for c in record]).agg(first)
+    return found.select(F.col(f"__first.{order}").alias(order), *[F.col(f"__first.{c}").alias(c) for c in carry], *[f"__is_{c}" for c in record])
+
+
+def near(published: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """The published records that may be among ``first``: all that are, and few
+    others, so that a run doesn't shuffle what it doesn't meet. The hashes of
+    ``first`` are bits of a bitmap of ``BITS``, whatever the data."""
+    place = F.xxhash64(*keys).bitwiseAND(F.lit(BITS - 1))
+    bitmap = first.select(place.alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("long")) != 0
+    return (published.select(*keys).withColumn("__b", F.bitmap_bucket_number(place))
+            .join(F.broadcast(bitmap), "__b").filter(met).select(*keys))  # at most BITS bits
+
+
+def publish_new(consumer: Consumer, run: int, until: int, order: str, time: str, record: list[str]) -> int | None:
+    """One run: publishes the rows of its delta whose records no earlier run has
+    published."""
+    keys = [f"__is_{c}" for c in record]
+
+    def new_rows(delta: DataFrame) -> DataFrame:
+        first = first_seen(delta.filter("_change = 'insert'"), order, time, record, [])
+        if consumer.processed():
+            known = near(consumer.output.read(), first, keys).toDF(*[f"{k}_known" for k in keys])
+            first = first.join(known, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_known")) for k in keys]), "left_anti")
+        return first.withColumn("run_id", F.lit(run).cast("long"))
+
+    return consumer.run(new_rows, until, run_id=run)
+
+
+def output_table(source: VersionedTable, order: str, record: list[str]) -> VersionedTable:
+    kinds = source.schema
+    fields = [T.StructField("run_id", T.LongType()), T.StructField(order, kinds[order].dataType)]
+    return VersionedTable(source.spark, shared_path(source.spark, "output"),
+                          T.StructType(fields + [T.StructField(f"__is_{c}", kinds[c].dataType) for c in record]))
 
 
 def replay(rows: DataFrame, runs: DataFrame, order: str = "id", time: str = "updated_at",
@@ -86,9 +126,8 @@ def replay(rows: DataFrame, runs: DataFrame, order: str = "id", time: str = "upd
     """(run_id, ``order``) of the new rows each run must process, read from the
     output table that all publishing runs together have left."""
     record = list(record)
-    delta, consumer = deliveries(rows, runs, order, time, record)
-    new = first_seen(delta.filter("_change = 'insert'"), order, time, record, ["run_id"])
-    files = consumer.output.write_files(new.withColumn("__run", F.col("run_id")), by="__run")
-    for run, since, until in consumer.steps:
-        consumer.publish(files.get(str(run), []), since, until, run_id=run)
-    return consumer.output.read()
+    source, steps = load(rows, runs, order, time, record)
+    consumer = Consumer(source, output_table(source, order, record))
+    for run, until in steps:
+        publish_new(consumer, run, until, order, time, record)
+    return consumer.output.read().select("run_id", order)

@@ -26,7 +26,7 @@ def p1_found(spark, d):
 def p1_run_sizes(spark, d):
     """Per publishing run: rows delivered to it and new rows among them."""
     record = ["path", "algo", "mtime", "hash", "size"]
-    delta, _ = incremental.deliveries(table(spark, d, "files"), table(spark, d, "sync_runs"), "id", "updated_at", record)
+    delta = incremental.deliveries(table(spark, d, "files"), table(spark, d, "sync_runs"), "id", "updated_at", record)
     new = incremental.first_seen(delta, "id", "updated_at", record, ["run_id"])
     sizes = delta.groupBy("run_id").agg(F.count(F.lit(1)).alias("delivered"))
     return sizes.join(new.groupBy("run_id").agg(F.count(F.lit(1)).alias("new_rows")), "run_id", "left").fillna(0)

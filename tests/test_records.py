@@ -60,6 +60,19 @@ def test_each_run_is_given_its_new_rows_once(spark, seed):
     assert got(out) == brute_runs(rows, runs)
 
 
+def test_runs_publish_before_the_next_reads(spark, monkeypatch):
+    calls = []
+    changes, publish = VersionedTable.changes, Consumer.publish
+    monkeypatch.setattr(VersionedTable, "changes", lambda t, since, until, net=False: calls.append((since, until)) or changes(t, since, until, net))
+    monkeypatch.setattr(Consumer, "publish", lambda c, files, since, until, **meta: calls.append(meta["run_id"]) or publish(c, files, since, until, **meta))
+    row = lambda i, path, at: (i, path, 1.0, None, "h", None, None, at)
+    rows = [row(1, "a", 1.0), row(2, None, 1.0), row(3, "a", 2.0), row(4, "b", 2.0), row(5, None, 3.0), row(6, "b", 3.0)]
+    runs = [(1, 0.0, 0.0, "ok", 1.0), (2, 0.0, 0.0, "ok", 2.0), (3, 0.0, 0.0, "failed", 3.0), (4, 0.0, 0.0, "ok", 3.0)]
+    out = incremental.replay(spark.createDataFrame(rows, FILES), spark.createDataFrame(runs, RUNS))
+    assert calls == [(0, 1), 1, (1, 2), 2, (2, 3), 4]
+    assert got(out) == Counter([(1, 1), (1, 2), (2, 4)])
+
+
 def test_runs_over_empty_tables(spark):
     none = spark.createDataFrame([], FILES)
     runs = spark.createDataFrame([(1, 0.0, 0.0, "ok", 1.0)], RUNS)
