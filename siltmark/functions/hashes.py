@@ -108,9 +108,17 @@ HASHES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def register(name: str, expression: Callable[[Column], Column]) -> None:
-    """Add an algorithm under its own name."""
+#: Name -> maker of an object with ``update(bytes)`` and ``hexdigest()``, of added algorithms.
+_ADDED: dict[str, Callable] = {}
+
+
+def register(name: str, expression: Callable[[Column], Column], maker: Callable | None = None) -> None:
+    """Add an algorithm under its own name: an expression over contents and, for
+    files too large for a column value, a maker of incremental hashers (which
+    goes to the tasks, so it must be picklable)."""
     HASHES[name] = expression
+    if maker is not None:
+        _ADDED[name] = maker
 
 
 def content_hash(content: Column, algo: str = DEFAULT_ALGO) -> Column:
@@ -154,12 +162,18 @@ class _C4:
         return c4_text(self._sha.digest())
 
 
-def hasher(algo: str):
-    """An incremental hasher, for streams too large for a column value."""
+def hasher_maker(algo: str) -> Callable:
+    """What makes an incremental hasher. Tasks are handed the maker, not the
+    name: the registry of another process may not know it."""
     import xxhash
 
     makers = {"null": _Null, "md5": hashlib.md5, "sha256": hashlib.sha256, "sha512": hashlib.sha512, "crc32": _Crc32,
-              "xxh64": xxhash.xxh64, "xxh3_64": xxhash.xxh3_64, "xxh3_128": xxhash.xxh3_128, "c4": _C4}
+              "xxh64": xxhash.xxh64, "xxh3_64": xxhash.xxh3_64, "xxh3_128": xxhash.xxh3_128, "c4": _C4, **_ADDED}
     if algo not in makers:
         raise ValueError(f"unknown hash algorithm {algo!r}; known: {', '.join(makers)}")
-    return makers[algo]()
+    return makers[algo]
+
+
+def hasher(algo: str):
+    """An incremental hasher, for streams too large for a column value."""
+    return hasher_maker(algo)()

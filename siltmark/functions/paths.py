@@ -6,8 +6,11 @@ import os
 import posixpath
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 #: Patterns of files and directories that are not hashed.
 IGNORED = [
@@ -18,6 +21,17 @@ IGNORED = [
 MANIFEST_NAME = "hash.json"
 
 
+def ignored_patterns() -> list[str]:
+    """The patterns in force: $SILTMARK_IGNORE (separated by commas), or the
+    usual ones with the manifest's own name, $SILTMARK_FILE."""
+    own = os.environ.get("SILTMARK_IGNORE")
+    return own.split(",") if own is not None else [manifest_name(), *IGNORED[1:]]
+
+
+def manifest_name() -> str:
+    return os.environ.get("SILTMARK_FILE", MANIFEST_NAME)
+
+
 def glob_regex(pattern: str) -> str:
     """Body of a regular expression for a shell pattern, in the syntax Java and
     Python share. ``*`` crosses ``/``; an unclosed ``[`` stands for itself."""
@@ -116,8 +130,8 @@ def normal_path(path: Column) -> Column:
 
 
 def relative_path(path: Column, start: str) -> Column:
-    """Normal form, relative to ``start`` if strictly below it. Links are
-    resolved where paths are read, not here."""
+    """Normal form, relative to ``start`` if strictly below it. Lexical: links
+    are resolved by ``real_path``, where the paths are of files that are there."""
     clean = normal_path(path)
     base = posixpath.normpath(start)
     below = base.rstrip("/") + "/" if base != "/" else "//"
@@ -125,6 +139,17 @@ def relative_path(path: Column, start: str) -> Column:
     return F.replace(out, F.lit("\\"), F.lit("/"))
 
 
+@pandas_udf(T.StringType())
+def _real_path(path: pd.Series) -> pd.Series:
+    return path.map(lambda p: None if p is None else os.path.realpath(p))
+
+
+def real_path(path: Column) -> Column:
+    """The path with its links resolved, on the file system of the executors. A
+    column of its own: the lexical functions here take columns, not such calls."""
+    return _real_path(path)
+
+
 def same_path(a: Column, b: Column) -> Column:
     return normal_path(a) == normal_path(b)
 
@@ -147,6 +172,8 @@ def uncompressed_path(path: Column) -> Column:
     return F.when(is_gzip(path), F.substring(path, F.lit(1), F.length(path) - 3)).otherwise(path)
 
 
+# The forms of sizes, times and result lines below.
+
 def format_bytes(n: Column) -> Column:
     """Size in steps of 1024 with two decimals, ties to even."""
     out = F.format_string("%.2f PB", F.bround(n / F.lit(float(1024**5)), 2))
@@ -164,19 +191,3 @@ def result_line(updated_at: Column, inode: Column, algo: Column, value: Column,
     """Time, inode, algo:hash and path in padded columns; session time zone."""
     stamp = F.date_format(F.timestamp_seconds(F.floor(updated_at)), "yyyy-MM-dd'T'HH:mm:ss")
     return F.format_string("%-20s %-10s %-35s %s", stamp, inode, F.concat_ws(":", algo, value), path)
-
-
-def block_size(path: str, default: int = 4096) -> int:
-    try:
-        s = os.statvfs(path)
-    except (AttributeError, OSError):
-        return default
-    return s.f_frsize or s.f_bsize
-
-
-def buffer_size(path: str, wanted: int = 1 << 20) -> int:
-    """Bytes per read: what is wanted, or from the file system's block size."""
-    if wanted > 0:
-        return wanted
-    block = block_size(path)
-    return min(max(block if block >= 1 << 17 else block * 32, 1 << 17), 1 << 20)

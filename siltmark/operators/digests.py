@@ -2,7 +2,9 @@
 
 A hash over a concatenation is made in order, so a folder is one stream: rows
 are sorted by folder and path and pass through an incremental hasher batch by
-batch. Memory does not grow with a folder; sorting spills.
+batch. Memory does not grow with a folder; sorting spills. Where contents are
+files, only their paths are sorted, and the task that hashes a folder reads
+them; contents that are a column of a table have to travel with it.
 """
 
 from __future__ import annotations
@@ -13,25 +15,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.functions.hashes import DEFAULT_ALGO, content_hash, hasher
+from siltmark.functions.hashes import DEFAULT_ALGO, content_hash, hasher_maker
 from siltmark.functions.paths import ancestors, under_root
 from siltmark.operators.skew import skew_join
 
+CHUNK = 1 << 20
 
-def _stream(algo: str, begin: bytes = b""):
-    """Hashes runs of rows (group, bytes) that come sorted by group."""
+
+def _file_chunks(path: str) -> Iterator[bytes]:
+    """The bytes of a file; what can't be read counts as empty."""
+    try:
+        with open(path, "rb") as f:
+            while chunk := f.read(CHUNK):
+                yield chunk
+    except OSError:
+        return
+
+
+def _stream(algo: str, begin: bytes = b"", files: bool = False):
+    """Hashes runs of rows (group, bytes) that come sorted by group; instead of
+    bytes there may be paths of ``files``."""
+    make = hasher_maker(algo)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, state = None, None
         for batch in batches:
             done = []
             for g, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if state is None or g != group:
+                first = state is None or g != group
+                if first:
                     if state is not None:
                         done.append((group, state.hexdigest()))
-                    group, state = g, hasher(algo)
-                    data = data[len(begin):] if data else data
-                state.update(data or b"")
+                    group, state = g, make()
+                if files:
+                    for chunk in _file_chunks(data):
+                        state.update(chunk)
+                elif data:
+                    state.update(data[len(begin):] if first else data)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.string())], names=["g", "h"])
         if state is not None:
@@ -40,19 +60,22 @@ def _stream(algo: str, begin: bytes = b""):
     return run
 
 
-def folder_hashes(files: DataFrame, folder: str = "folder", path: str = "path", content: str = "content", algo: str = DEFAULT_ALGO) -> DataFrame:
-    """(folder, hash): hash of the folder's contents in ascending order of path.
-    Null content counts as empty; a null folder is left out."""
-    rows = files.filter(F.col(folder).isNotNull()).select(F.col(folder).alias("g"), F.col(content).alias("c"), F.col(path).alias("p"))
-    rows = rows.repartition("g").sortWithinPartitions("g", "p").select("g", "c")
-    return rows.mapInArrow(_stream(algo), "g string, h string").select(F.col("g").alias(folder), F.col("h").alias("hash"))
+def folder_hashes(files: DataFrame, folder: str = "folder", path: str = "path", content: str | None = "content", algo: str = DEFAULT_ALGO) -> DataFrame:
+    """(folder, hash): hash of the folder's contents in ascending order of path;
+    without ``content`` those of the files at the paths. Null content counts as
+    empty; a null folder or path is left out."""
+    rows = files.filter(F.col(folder).isNotNull() & F.col(path).isNotNull())
+    rows = rows.select(F.col(folder).alias("g"), F.col(content or path).alias("c"), *([F.col(path).alias("p")] if content else []))
+    rows = rows.repartition("g").sortWithinPartitions("g", "p" if content else "c").select("g", "c")
+    return rows.mapInArrow(_stream(algo, files=content is None), "g string, h string").select(F.col("g").alias(folder), F.col("h").alias("hash"))
 
 
-def every_folder(files: DataFrame, root: str, path: str = "path", content: str = "content", algo: str = DEFAULT_ALGO) -> DataFrame:
+def every_folder(files: DataFrame, root: str, path: str = "path", content: str | None = "content", algo: str = DEFAULT_ALGO) -> DataFrame:
     """``folder_hashes`` of every directory from ``root`` down, each over all
     the files beneath it."""
     above = F.filter(ancestors(F.col(path)), lambda d: under_root(d, root))
-    return folder_hashes(files.select(path, content, F.explode(above).alias("folder")), "folder", path, content, algo)
+    rows = files.select(path, *([content] if content else []), F.explode(above).alias("folder"))
+    return folder_hashes(rows, "folder", path, content, algo)
 
 
 def composite_hash(entries: DataFrame, path: str = "path", value: str = "hash", algo: str = DEFAULT_ALGO) -> DataFrame:

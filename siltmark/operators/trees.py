@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltmark.functions.hashes import DEFAULT_ALGO, HASHES, hasher
-from siltmark.functions.paths import MANIFEST_NAME, relative_path
+from siltmark.functions.hashes import DEFAULT_ALGO, hasher_maker
+from siltmark.functions.paths import manifest_name, real_path, relative_path
 from siltmark.operators import cache as caches
 from siltmark.operators import digests
 from siltmark.operators.manifests import algos_of
@@ -20,9 +20,10 @@ from siltmark.sources.fstree import CHUNK, scan_tree
 from siltmark.sources.manifests import write_manifest
 
 
-def file_hash(path: str, algo: str, uncompress: bool = False) -> str | None:
-    """Hash of one file, read in chunks; None if it can't be read."""
-    state = hasher(algo)
+def file_hash(path: str, algo, uncompress: bool = False) -> str | None:
+    """Hash of one file, read in chunks; None if it can't be read. ``algo`` is a
+    name or a maker of hashers."""
+    state = hasher_maker(algo)() if isinstance(algo, str) else algo()
     try:
         with (gzip.open if uncompress and path.lower().endswith(".gz") else open)(path, "rb") as f:
             while chunk := f.read(CHUNK):
@@ -36,10 +37,12 @@ def hash_paths(entries: DataFrame, algo: str = DEFAULT_ALGO, uncompress: bool =
     """Adds the column ``algo`` to rows of files, each read where its task runs.
     Rows are dealt out evenly first, as few large directories may hold most."""
 
+    make = hasher_maker(algo)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(path)
-            values = [file_hash(p, algo, uncompress) for p in batch.column(at).to_pylist()]
+            values = [file_hash(p, make, uncompress) for p in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string())], names=[*batch.schema.names, algo])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields)
@@ -49,37 +52,37 @@ def hash_paths(entries: DataFrame, algo: str = DEFAULT_ALGO, uncompress: bool =
 
 def hash_tree(spark: SparkSession, paths: list[str], algo: str = DEFAULT_ALGO, out: str | None = None, start: str | None = None,
               cache: caches.HashCache | None = None, snapshot: str | None = None, force: bool = False, uncompress: bool = False,
-              single: bool = True) -> DataFrame:
+              single: bool = True, patterns: list[str] | None = None) -> DataFrame:
     """Hash the files beneath ``paths``: (path, metadata, algo, cached).
 
-    Files the cache knows by (path, mtime, algo) are not read, unless forced or
-    unpacked. All of ``paths`` go into one manifest, and every file scanned is
-    linked to the snapshot."""
-    if algo not in HASHES:
-        raise ValueError(f"unknown hash algorithm {algo!r}; known: {', '.join(HASHES)}")
+    Files the cache knows by (path, mtime, algo) are not read, unless forced.
+    All of ``paths`` go into one manifest, and every file scanned is linked to
+    the snapshot. A hash of unpacked contents is not that of the file, so with
+    ``uncompress`` the cache and its snapshots are neither read nor written."""
+    hasher_maker(algo)  # ValueError if there is none
     paths = list(dict.fromkeys(paths))
     began = time.time()
     if cache is None or force or uncompress:
-        rows = scan_tree(spark, paths, force=force, algos=[algo], uncompress=uncompress).withColumn("cached", F.lit(False))
+        rows = scan_tree(spark, paths, force=force, algos=[algo], uncompress=uncompress, patterns=patterns).withColumn("cached", F.lit(False))
     else:
-        stats = scan_tree(spark, paths, force=force).withColumn("algo", F.lit(algo))
+        stats = scan_tree(spark, paths, force=force, patterns=patterns).withColumn("algo", F.lit(algo))
         known, new = caches.split_known(stats, cache.files())
         known = known.withColumn(algo, F.col("cached_hash")).withColumn("cached", F.lit(True)).drop("cached_hash", "algo")
         rows = known.unionByName(hash_paths(new.drop("algo"), algo).withColumn("cached", F.lit(False)))
     rows = rows.filter(F.col(algo).isNotNull())
     if out:
-        rows = rows.filter(F.col("path") != os.path.abspath(out))
+        rows = rows.filter(~F.col("path").isin(os.path.abspath(out), os.path.realpath(out)))
     rows = rows.cache()
     try:
-        if cache is not None:
+        if cache is not None and not uncompress:
             entries = rows.select("path", "mtime", F.lit(algo).alias("algo"), F.col(algo).alias("hash"), "size", F.col("ino").cast("string").alias("inode"),
                                   F.lit(float(int(began))).alias("updated_at"))
             cache.put(entries)
             if snapshot:
                 cache.snapshot(snapshot, os.path.abspath(start or paths[0]), entries)
         if out:
-            base = os.path.abspath(start) if start else os.path.dirname(os.path.abspath(out))
-            record = rows.drop("cached").withColumn("path", relative_path(F.col("path"), base))
+            base = os.path.realpath(start) if start else os.path.dirname(os.path.realpath(out))
+            record = rows.drop("cached").withColumn("path", real_path(F.col("path"))).withColumn("path", relative_path(F.col("path"), base))
             if uncompress:
                 from siltmark.operators.manifests import uncompressed
 
@@ -96,7 +99,7 @@ def verify_tree(manifest: DataFrame, root: str, uncompress: bool = False) -> Dat
     manifest was written. Only files whose time changed are read. Files that are
     gone are passed over; ``uncompress`` looks for ``x.gz`` where ``x`` is gone,
     and reports ``x``."""
-    algos = algos_of(manifest)
+    algos = [(a, hasher_maker(a)) for a in algos_of(manifest)]
     rows = manifest if "mtime" in manifest.columns else manifest.withColumn("mtime", F.lit(None).cast("double"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,19 +115,19 @@ def verify_tree(manifest: DataFrame, root: str, uncompress: bool = False) -> Dat
                         continue
                 except OSError:
                     continue
-                for a in algos:
-                    if r[a] and (new := file_hash(at, a, uncompress)) and new != r[a]:
+                for a, make in algos:
+                    if r[a] and (new := file_hash(at, make, uncompress)) and new != r[a]:
                         found.append((a, new, full))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(3)], names=["algo", "hash", "path"])
 
     n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.select("path", "mtime", *algos).repartition(n).mapInArrow(run, "algo string, hash string, path string")
+    return rows.select("path", "mtime", *[a for a, _ in algos]).repartition(n).mapInArrow(run, "algo string, hash string, path string")
 
 
 def folder_hash(spark: SparkSession, path: str, algo: str = DEFAULT_ALGO) -> str | None:
     """One hash over the contents of all files beneath a folder, in path order."""
-    files = scan_tree(spark, [path], content=True).withColumn("folder", F.lit(path))
-    row = digests.folder_hashes(files, algo=algo).first()
+    files = scan_tree(spark, [path]).withColumn("folder", F.lit(path))
+    row = digests.folder_hashes(files, content=None, algo=algo).first()
     return row["hash"] if row else None
 
 
@@ -144,8 +147,8 @@ def path_hashes(spark: SparkSession, path: str, algo: str = DEFAULT_ALGO, filety
     if filetype in ("f", "a"):
         parts.append(scan_tree(spark, [path], algos=[algo]).select("path", F.col(algo).alias("hash")))
     if filetype in ("d", "a"):
-        contents = scan_tree(spark, [path], content=True)
-        parts.append(digests.every_folder(contents, os.path.abspath(path), algo=algo).select(F.col("folder").alias("path"), "hash"))
+        files = scan_tree(spark, [path])
+        parts.append(digests.every_folder(files, os.path.abspath(path), content=None, algo=algo).select(F.col("folder").alias("path"), "hash"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.filter("hash is not null and hash <> ''")
 
@@ -165,4 +168,4 @@ def duplicate_files(spark: SparkSession, paths: list[str], algo: str = DEFAULT_A
 
 
 def sidecar_path(path: str) -> str:
-    return os.path.join(os.path.dirname(os.path.abspath(path)), MANIFEST_NAME)
+    return os.path.join(os.path.dirname(os.path.abspath(path)), manifest_name())

@@ -4,12 +4,17 @@ for a cache of hashed files, and its newest row per path for a manifest."""
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.functions import paths as P
 from siltmark.functions.hashes import HASHES, content_hash, text_hash
-from siltmark.operators import cache, digests, manifests
+from siltmark.operators import cache, digests, manifests, trees
 from siltmark.plans.data_queries import table
 from siltmark.session import shared_path
 from siltmark.sources import manifests as formats
@@ -55,6 +60,18 @@ for _algo in ALGOS:
     QUERIES[f"hash_{_algo}"] = _hash_query(_algo)
 
 
+#: Texts whose hashes are published or easily made elsewhere.
+VECTORS = ["", "abc", "hello, world\n", "The quick brown fox jumps over the lazy dog"]
+
+
+@query
+def hash_vectors(spark, d):
+    """Every algorithm over the texts of ``VECTORS``."""
+    texts = spark.createDataFrame([(t,) for t in VECTORS], "text string")
+    pairs = F.array(*[F.struct(F.lit(a).alias("algo"), text_hash(F.col("text"), a).alias("hash")) for a in ALGOS])
+    return texts.select("text", F.explode(pairs).alias("x")).select("text", "x.algo", "x.hash")
+
+
 @query
 def hash_xxh64_paths(spark, d):
     return table(spark, d, "files").select("id", text_hash(F.col("path"), "xxh64").alias("hash"))
@@ -328,15 +345,55 @@ def read_gz(spark, d):
     return scan_tree(spark, [out.removeprefix("file://")], algos=["md5"], uncompress=True).filter("name like '%.gz'").select("size", F.col("md5").alias("hash"))
 
 
+@query
+def json_whole(spark, d):
+    """A manifest of another layout, all records in one line, parsed whole."""
+    out = shared_path(spark, "json")
+    fields = ["name", "mtime", "size", "md5", "xxh64", "c4"]
+    record = F.struct(F.col("path").alias("key"), F.struct(*fields).alias("value"))
+    by_part = manifest(spark, d).groupBy(F.pmod(F.xxhash64("path"), F.lit(64)).alias("part")).agg(F.map_from_entries(F.collect_list(record)).alias("m"))
+    by_part.select("part", F.to_json("m").alias("value")).write.partitionBy("part").text(out)  # an object per file
+    return formats.read_json_whole(spark, out).select("path", *fields)
+
+
+#: The tree ``fs_walk`` makes: files and what they hold.
+TREE = {"a.txt": b"one", "_b.txt": b"", ".hidden/c d.txt": "d\u00fcn".encode(), "e/f/g.bin": b"\0" * 1000, "e/f/old.bak": b"x", "e/.git/config": b"x", "e/build/h.txt": b"x", "e/i.txt.gz": gzip.compress(b"one", mtime=0)}
+
+
 @query
 def fs_walk(spark, d):
-    return scan_tree(spark, [d], filetype="a").select("name", "size", "type", "mtime")
+    """Files and folders of a tree, unpacked where they are packed, without what is ignored."""
+    root = urlparse(shared_path(spark, "tree")).path
+    for name, data in TREE.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "wb") as f:
+            f.write(data)
+    rows = scan_tree(spark, [root], filetype="a", algos=["md5"], uncompress=True)
+    path = F.coalesce(F.nullif(F.substr("path", F.lit(len(root) + 2)), F.lit("")), F.lit("."))
+    name = F.when(path == ".", ".").otherwise(F.col("name"))
+    return rows.select(path.alias("path"), name.alias("name"), "type", F.when(F.col("type") == "file", F.col("size")).alias("size"), "md5",
+                       (F.col("mtime") > 0).alias("has_time"), (F.col("ino") != 0).alias("has_inode"))
+
+
+@query
+def uncompress_then_plain(spark, d):
+    """A packed file hashed unpacked, then as it is, with one cache: what each run says."""
+    root = urlparse(shared_path(spark, "packed")).path
+    os.makedirs(root)
+    with open(f"{root}/a.txt.gz", "wb") as f:
+        f.write(gzip.compress(b"hello", mtime=0))
+    store, out = cache.HashCache(spark, shared_path(spark, "cache")), []
+    for step, unpack in enumerate([True, False, False]):
+        rows = trees.hash_tree(spark, [root], "md5", cache=store, uncompress=unpack)
+        out += [(step, r["md5"] == hashlib.md5(b"hello").hexdigest(), r["cached"]) for r in rows.collect()]
+        rows.unpersist()
+    return spark.createDataFrame(out, "step int, of_contents boolean, cached boolean")
 
 
 # -- snapshots ----------------------------------------------------------------------
 
 def _members(spark, d, name: str) -> DataFrame:
-    sid = F.broadcast(table(spark, d, "snapshots").filter(F.col("name") == name).select(F.col("id").alias("snapshot_id")))  # one row
+    sid = table(spark, d, "snapshots").filter(F.col("name") == name).select(F.col("id").alias("snapshot_id"))
     ids = table(spark, d, "snapshot_files").join(sid, "snapshot_id").select(F.col("file_id").alias("id")).distinct()
     return table(spark, d, "files").join(ids, "id")
 
@@ -347,7 +404,7 @@ def _diff(spark, d, same_algo=False):
 
 @query
 def snapshot_membership(spark, d):
-    names = F.broadcast(table(spark, d, "snapshots").select(F.col("id").alias("snapshot_id"), "name"))  # 24 rows at every scale
+    names = table(spark, d, "snapshots").select(F.col("id").alias("snapshot_id"), "name")
     links = table(spark, d, "snapshot_files").join(names, "snapshot_id").select("name", F.col("file_id").alias("id")).distinct()
     return links.join(table(spark, d, "files").select("id", "path", "algo", "hash"), "id").select("name", "path", "algo", "hash")
 

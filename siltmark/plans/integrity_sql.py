@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siltmark.functions.paths import IGNORED
-from siltmark.plans.integrity_queries import ALGOS, COLUMNS, DIFF, DIFF_ROOT, SINCE
+from siltmark.plans.integrity_queries import ALGOS, COLUMNS, DIFF, DIFF_ROOT, SINCE, VECTORS
 
 _DOCS = "docs AS (SELECT doc_id, text, '/data/' || coalesce(source, 'none') || '/' || coalesce(lang, 'xx') || '/' || doc_id || '.txt' AS path FROM documents)"
 _DIRNAME = "(CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END)"
@@ -109,7 +109,62 @@ _VERIFY = """FROM {left} JOIN m2 n ON n.path = {at} AND n.algo = m.algo
 WHERE m.hash <> '' AND n.hash <> '' AND n.hash <> m.hash AND m.mtime IS DISTINCT FROM n.mtime"""
 _FOLDERS = f"WITH {_DOCS}, e AS (SELECT text, path, unnest(['/data', regexp_extract(path, '^/[^/]*/[^/]*'), regexp_replace(path, '/[^/]*$', '')]) AS folder FROM docs)"
 
+# Digests of the texts of VECTORS, from the algorithms' public libraries.
+_VECTORS = """
+  (0, 'null', ''),
+  (0, 'md5', 'd41d8cd98f00b204e9800998ecf8427e'),
+  (0, 'sha256', 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'),
+  (0, 'sha512', 'cf83e1357eefb8bdf1542850d66d8007d620e4050b5715dc83f4a921d36ce9ce47d0d13c5d85f2b0ff8318d2877eec2f63b931bd47417a81a538327af927da3e'),
+  (0, 'crc32', '00000000'),
+  (0, 'xxh64', 'ef46db3751d8e999'),
+  (0, 'xxh3_64', '2d06800538d394c2'),
+  (0, 'xxh3_128', '99aa06d3014798d86001c324468d497f'),
+  (0, 'c4', 'c459dsjfscH38cYeXXYogktxf4Cd9ibshE3BHUo6a58hBXmRQdZrAkZzsWcbWtDg5oQstpDuni4Hirj75GEmTc1sFT'),
+  (1, 'null', ''),
+  (1, 'md5', '900150983cd24fb0d6963f7d28e17f72'),
+  (1, 'sha256', 'ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad'),
+  (1, 'sha512', 'ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a2192992a274fc1a836ba3c23a3feebbd454d4423643ce80e2a9ac94fa54ca49f'),
+  (1, 'crc32', '352441c2'),
+  (1, 'xxh64', '44bc2cf5ad770999'),
+  (1, 'xxh3_64', '78af5f94892f3950'),
+  (1, 'xxh3_128', '06b05ab6733a618578af5f94892f3950'),
+  (1, 'c4', 'c45S4rnaTNWonxss1u8LzsaJdEph1AJhWUF4sh2waXKMsutyfAxg4ybUeuXVWS9HdNcEypmeXn8FZGonD4w1rj9DZp'),
+  (2, 'null', ''),
+  (2, 'md5', '22c3683b094136c3398391ae71b20f04'),
+  (2, 'sha256', '853ff93762a06ddbf722c4ebe9ddd66d8f63ddaea97f521c3ecc20da7c976020'),
+  (2, 'sha512', 'f65f341b35981fda842b09b2c8af9bcdb7602a4c2e6fa1f7d41f0974d3e3122f268fc79d5a4af66358f5133885cd1c165c916f80ab25e5d8d95db46f803c782c'),
+  (2, 'crc32', 'f4247453'),
+  (2, 'xxh64', 'abdc2a61f1f91f4c'),
+  (2, 'xxh3_64', '660687edec075653'),
+  (2, 'xxh3_128', 'aef7d73364a11a632fc4faefcc422cb8'),
+  (2, 'c4', 'c45vhGWHMBc5V15tZXUfgSf49jMCjsE8jQ5KuN4TUat9g4nSUXSjoepKLLK8oBavZMUqx1m13H9GUu2iyRsyFAyffh'),
+  (3, 'null', ''),
+  (3, 'md5', '9e107d9d372bb6826bd81d3542a419d6'),
+  (3, 'sha256', 'd7a8fbb307d7809469ca9abcb0082e4f8d5651e46d3cdb762d02d0bf37c9e592'),
+  (3, 'sha512', '07e547d9586f6a73f73fbac0435ed76951218fb7d0c8d788a309d785436bbb642e93a252a954f23912547d1e8a3b5ed6e1bfd7097821233fa0538f3db854fee6'),
+  (3, 'crc32', '414fa339'),
+  (3, 'xxh64', '0b242d361fda71bc'),
+  (3, 'xxh3_64', 'ce7d19a5418fb365'),
+  (3, 'xxh3_128', 'ddd650205ca3e7fa24a1cc2e3a8a7651'),
+  (3, 'c4', 'c4AA3ASLQfdQwGxaam2okv9uTopf28Piy2pskrf6vQ35fsAKCBzQAv31LTcwMcp3hpDqF4vxgvu3UoPSAN4qZ3Ygd1')
+"""
+# What a walk over the tree of fs_walk finds.
+_TREE = """
+  ('a.txt', 'a.txt', 'file', 3, 'f97c5d29941bfb1b2fdab0874906ab82'),
+  ('_b.txt', '_b.txt', 'file', 0, 'd41d8cd98f00b204e9800998ecf8427e'),
+  ('.hidden/c d.txt', 'c d.txt', 'file', 4, 'a00b51be30613a85e5dbc199e8c45a76'),
+  ('e/f/g.bin', 'g.bin', 'file', 1000, 'ede3d3b685b4e137ba4cb2521329a75e'),
+  ('e/i.txt.gz', 'i.txt.gz', 'file', 3, 'f97c5d29941bfb1b2fdab0874906ab82'),
+  ('.', '.', 'dir', NULL, NULL),
+  ('.hidden', '.hidden', 'dir', NULL, NULL),
+  ('e', 'e', 'dir', NULL, NULL),
+  ('e/f', 'f', 'dir', NULL, NULL)
+"""
+
 ORACLES = {
+    "hash_vectors": "SELECT [" + ", ".join("'" + t.replace("\n", "' || chr(10) || '") + "'" for t in VECTORS) + f"][i + 1] AS text, algo, hash FROM (VALUES {_VECTORS}) v(i, algo, hash)",
+    "fs_walk": f"SELECT *, true AS has_time, true AS has_inode FROM (VALUES {_TREE}) v(path, name, type, size, md5)",
+    "uncompress_then_plain": "SELECT * FROM (VALUES (0, true, false), (1, false, false), (2, false, true)) v(step, of_contents, cached)",
     "hash_null": "SELECT doc_id, '' AS hash FROM documents",
     "hash_md5": "SELECT doc_id, md5(text) AS hash FROM documents",
     "hash_sha256": "SELECT doc_id, sha256(text) AS hash FROM documents",
@@ -173,6 +228,7 @@ AND NOT EXISTS (SELECT 1 FROM b WHERE b.name = a.name AND b.hash IS NOT DISTINCT
     "sidecar_lookup": f"""WITH {_M1}, {_M2} SELECT m1.path, CASE WHEN m2.algo = 'xxh64' THEN m2.hash END AS sidecar_hash
 FROM m1 LEFT JOIN m2 ON m2.dirname = m1.dirname AND m2.name = m1.name AND m2.mtime = m1.mtime""",
     "json_roundtrip": f"WITH {_M1} SELECT path, name, mtime, size, " + ", ".join(f"CASE WHEN algo = '{a}' THEN hash END AS {a}" for a in ("md5", "xxh64", "c4")) + " FROM m1",
+    "json_whole": f"WITH {_M1} SELECT path, name, mtime, size, " + ", ".join(f"CASE WHEN algo = '{a}' THEN hash END AS {a}" for a in ("md5", "xxh64", "c4")) + " FROM m1",
     # A line break within a path ends its line; white space around a line is lost.
     "txt_roundtrip": f"""WITH {_M1}, l AS (SELECT path AS src, regexp_split_to_array(hash || ' ' || path, '\\r\\n|\\r|\\n') AS parts FROM m1 WHERE algo = 'xxh64' AND hash <> ''),
 t AS (SELECT src, i, regexp_replace(parts[i], '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS line FROM (SELECT src, parts, unnest(range(1, len(parts) + 1)) AS i FROM l))

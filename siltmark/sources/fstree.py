@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import types as T
 
-from siltmark.functions.hashes import HASHES, hasher
-from siltmark.functions.paths import IGNORED, ignored_regex
+from siltmark.functions.hashes import hasher_maker
+from siltmark.functions.paths import ignored_patterns, ignored_regex
 
 CHUNK = 1 << 20
 SPLIT_LEVELS = 2
@@ -61,8 +61,8 @@ class _TreeReader(DataSourceReader):
         self.force = options.get("force", "false").lower() == "true"
         self.content = options.get("content", "false").lower() == "true"
         self.uncompress = options.get("uncompress", "false").lower() == "true"
-        self.algos = json.loads(options.get("algos", "[]"))
-        self.patterns = json.loads(options.get("patterns", json.dumps(IGNORED)))
+        self.algos = [hasher_maker(a) for a in json.loads(options.get("algos", "[]"))]
+        self.patterns = json.loads(options["patterns"]) if "patterns" in options else ignored_patterns()
 
     def _skip(self):
         if self.force or not self.patterns:
@@ -136,7 +136,7 @@ class _TreeReader(DataSourceReader):
 
     def _digest(self, path: str, size: int):
         packed = self.uncompress and path.lower().endswith(".gz")
-        states, kept, n = [hasher(a) for a in self.algos], [], 0
+        states, kept, n = [make() for make in self.algos], [], 0
         with (gzip.open if packed else open)(path, "rb") as f:
             while chunk := f.read(CHUNK):
                 n += len(chunk)
@@ -166,11 +166,12 @@ class TreeSource(DataSource):
 
 
 def scan_tree(spark: SparkSession, paths: list[str], filetype: str = "f", force: bool = False, algos: list[str] = (),
-              content: bool = False, uncompress: bool = False, patterns: list[str] = IGNORED) -> DataFrame:
-    """Rows of files (f), directories (d) or both (a) beneath ``paths``."""
+              content: bool = False, uncompress: bool = False, patterns: list[str] | None = None) -> DataFrame:
+    """Rows of files (f), directories (d) or both (a) beneath ``paths``, without
+    what ``patterns`` ignore (those of the environment if not given)."""
     for a in algos:
-        if a not in HASHES:
-            raise ValueError(f"unknown hash algorithm {a!r}; known: {', '.join(HASHES)}")
+        hasher_maker(a)  # ValueError if there is none
+    patterns = ignored_patterns() if patterns is None else patterns
     spark.dataSource.register(TreeSource)
     options = {"paths": json.dumps(list(paths)), "filetype": filetype, "force": str(force), "algos": json.dumps(list(algos)),
                "content": str(content), "uncompress": str(uncompress), "patterns": json.dumps(list(patterns))}

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from siltmark.functions.hashes import DEFAULT_ALGO, HASHES
 from siltmark.functions.paths import relative_path, utc_stamp
-from siltmark.session import filesystem, hadoop_path
+from siltmark.session import cut, filesystem, hadoop_path
 
 #: Names and order of the fields of a manifest record.
 STAT_TYPES = {"name": "string", "dirname": "string", "atime": "double", "ctime": "double", "mtime": "double", "ino": "bigint",
@@ -32,13 +32,37 @@ def record_schema(extra: dict[str, str] | None = None) -> str:
     return ", ".join(f"`{k}` {v}" for k, v in fields.items())
 
 
+_EDGES = ("{", "}", "")
+
+
+def _line_records(lines: DataFrame, extra: dict[str, str] | None) -> DataFrame:
+    """Adds ``e``: the map a line of a JSON manifest holds, null if the line
+    alone is no record (the braces around all records hold none)."""
+    body = F.regexp_replace("value", r"^\s*,?|,?\s*$", "")
+    kind = f"map<string, struct<{_colons(record_schema(extra))}>>"
+    return lines.withColumn("e", F.when(~body.isin(*_EDGES), F.from_json(F.concat(F.lit("{"), body, F.lit("}")), kind)))
+
+
 def _last_wins(rows: DataFrame, value: str, order: Column) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(value, order).alias(value))
 
 
 def read_json(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
-    """Manifest of any layout: (path, fields). Each file is parsed whole; text
-    that isn't JSON gives no rows; of repeated paths the last wins."""
+    """Manifest of any layout: (path, fields). Where every line is a record, as
+    ``write_json`` leaves them, files are split among tasks; else each file is
+    parsed whole."""
+    lines = spark.read.text(path)
+    text = F.trim("value")
+    # A line of its own: one key and one object, closed. Anything else is another layout.
+    alone = text.rlike(r'^,?\s*"(?:[^"\\]|\\.)*"\s*:\s*\{.*\}\s*,?$') | text.isin(*_EDGES)
+    nested = _line_records(lines.filter(~text.isin(*_EDGES)), extra).filter(F.col("e").isNull() | (F.size("e") != 1))
+    by_line = lines.filter(~alone).isEmpty() and nested.isEmpty() and not lines.filter(text == "{").isEmpty()
+    return (read_json_lines if by_line else read_json_whole)(spark, path, extra)
+
+
+def read_json_whole(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """Each file is parsed whole, in one task; text that isn't JSON gives no
+    rows; of repeated paths the last wins."""
     text = spark.read.text(path, wholetext=True)
     entries = F.map_entries(F.from_json("value", f"map<string, struct<{_colons(record_schema(extra))}>>"))
     rows = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(entries).alias("pos", "entry"))
@@ -53,9 +77,7 @@ def _colons(ddl: str) -> str:
 def read_json_lines(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
     """A manifest with a record per line, as ``write_json`` leaves it: files are
     split among tasks, so a manifest may be of any size."""
-    body = F.regexp_replace("value", r"^\s*,?|,?\s*$", "")
-    entries = F.map_entries(F.from_json(F.concat(F.lit("{"), body, F.lit("}")), f"map<string, struct<{_colons(record_schema(extra))}>>"))
-    rows = _positions(spark.read.text(path)).filter(F.length("value") > 1).select(F.explode(entries).alias("e"), "at")
+    rows = _line_records(_positions(spark.read.text(path)), extra).select(F.explode(F.map_entries("e")).alias("e"), "at")
     return _last_wins(rows.select(F.col("e.key").alias("path"), F.col("e.value").alias("record"), "at"), "record", F.col("at")).select("path", "record.*")
 
 
@@ -113,9 +135,9 @@ def write_json(df: DataFrame, out: str, single: bool = False) -> None:
     # The text of {"path": ...} without its braces and key is the escaped path.
     key = F.expr("substring(__key, 9, length(__key) - 9)")
     df = df.filter("path is not null").dropDuplicates(["path"])
-    rows = df.withColumn("__key", F.to_json(F.struct("path"))).select(
-        F.lit(1).alias("kind"), F.col("path").alias("at"), F.concat(F.lit("    "), key, F.lit(": "), body).alias("value"))
-    first = df.agg(F.min("path")).first()[0]
+    rows = cut(df.withColumn("__key", F.to_json(F.struct("path"))).select(
+        F.lit(1).alias("kind"), F.col("path").alias("at"), F.concat(F.lit("    "), key, F.lit(": "), body).alias("value")), "lines")
+    first = rows.agg(F.min("at")).first()[0]
     rows = rows.withColumn("value", F.when(F.col("at") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit("    ,"), F.ltrim("value"))))
     ends = df.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "kind int, at string, value string")
     _save(ends.unionByName(rows), out, single, ["kind", "at"])

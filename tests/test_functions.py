@@ -45,19 +45,66 @@ def test_golden_text(spark):
     assert H.hasher("xxh64").hexdigest() == xxhash.xxh64_hexdigest(b"")
 
 
-@given(st.binary(min_size=64, max_size=64))
+def base58(n):
+    return base58(n // 58) + H.C4_ALPHABET[n % 58] if n else ""
+
+
+@given(st.one_of(st.binary(min_size=64, max_size=64), st.integers(0, 58**12).map(lambda n: n.to_bytes(64, "big"))))
 @settings(max_examples=200, deadline=None)
-def test_c4_texts_read_back(digest):
-    text = H.c4_text(digest)
-    assert len(text) == 90 and text.startswith("c4")
-    n = int.from_bytes(digest, "big")
-    digits = text[2:]
-    value = 0
-    for d in digits:
-        value = value * 58 + H.C4_ALPHABET.index(d)
-    while value != n and value and value % 58 == 0:
-        value //= 58
-    assert value == n
+def test_c4_is_base_58_filled_up_on_the_right(digest):
+    text = "c4" + base58(int.from_bytes(digest, "big")).ljust(88, "1")
+    assert len(text) == 90 and H.c4_text(digest) == text and H.c4_texts(digest + digest) == [text, text]
+
+
+def test_published_c4_of_nothing():
+    assert H.hasher("c4").hexdigest() == "c459dsjfscH38cYeXXYogktxf4Cd9ibshE3BHUo6a58hBXmRQdZrAkZzsWcbWtDg5oQstpDuni4Hirj75GEmTc1sFT"
+
+
+class Length:
+    """A hasher of one's own."""
+
+    def __init__(self):
+        self.n = 0
+
+    def update(self, data):
+        self.n += len(data)
+
+    def hexdigest(self):
+        return f"{self.n:04x}"
+
+
+def test_added_algorithms(spark, monkeypatch):
+    monkeypatch.setattr(H, "HASHES", dict(H.HASHES))
+    monkeypatch.setattr(H, "_ADDED", {})
+    H.register("length", lambda c: F.lower(F.lpad(F.hex(F.octet_length(c).cast("long")), 4, "0")), Length)
+    assert spark.range(1).select(H.text_hash(F.lit("abc"), "length")).first()[0] == "0003"
+    state = H.hasher("length")
+    state.update(b"abc")
+    assert state.hexdigest() == "0003"
+    H.register("column_only", lambda c: c)
+    with pytest.raises(ValueError):
+        H.hasher("column_only")
+
+
+def test_links_are_resolved(spark, tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "real" / "f").write_text("x")
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    df = spark.createDataFrame([(f"{tmp_path}/link/f",), (None,)], "p string")
+    real = [r[0] for r in df.select(P.real_path(F.col("p"))).collect()]
+    assert real == [os.path.realpath(tmp_path / "real" / "f"), None]
+    resolved = df.withColumn("p", P.real_path(F.col("p")))
+    start = os.path.realpath(tmp_path / "real")
+    assert resolved.select(P.relative_path(F.col("p"), start), P.is_below(F.col("p"), start)).first()[:] == ("f", True)
+
+
+def test_patterns_and_manifest_name_of_the_environment(monkeypatch):
+    assert P.ignored_patterns() == P.IGNORED
+    monkeypatch.setenv("SILTMARK_FILE", "sums.json")
+    assert P.ignored_patterns()[0] == "sums.json" and P.ignored_patterns()[1:] == P.IGNORED[1:]
+    monkeypatch.setenv("SILTMARK_IGNORE", "*.log,tmp")
+    assert P.ignored_patterns() == ["*.log", "tmp"]
+
 
 
 def test_many_c4_texts_at_once():
@@ -144,4 +191,3 @@ def test_texts(spark):
     line = spark.createDataFrame([(1.7e9, "12", "md5", "ab", "/p")], "t double, i string, a string, h string, p string")
     row = line.select(P.result_line(*[F.col(c) for c in "tiahp"]), P.utc_stamp(F.lit(-1.5))).first()
     assert row[0] == f"{'2023-11-14T22:13:20':<20} {'12':<10} {'md5:ab':<35} /p" and row[1] == "1969-12-31T23:59:58Z"
-    assert P.buffer_size("/", 77) == 77 and (1 << 17) <= P.buffer_size("/", 0) <= (1 << 20)
