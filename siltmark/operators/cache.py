@@ -1,12 +1,16 @@
 """The cache of hashed files, its snapshots, and their differences.
 
 The functions work on tables; ``HashCache`` keeps them as versioned tables in
-a folder, each change one atomic commit.
+a folder. A change becomes visible by one commit: what belongs to a snapshot is
+linked to its ``uid`` and only counts once the snapshot's own row is committed,
+so a writer that dies before that leaves nothing that can be seen. Writers that
+lose a race compute their change again (``versioned.retrying``).
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
@@ -15,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltmark.functions.paths import is_glob, matches_glob, under_root
-from siltmark.operators.versioned import VersionedTable
+from siltmark.operators.versioned import VersionedTable, retrying
 
 KEY = ["path", "mtime", "algo"]
 FILES = "path string, mtime double, algo string, hash string, size bigint, inode string, updated_at double"
-SNAPSHOTS = "name string, path string, created_at double"
-LINKS = "snapshot string, path string, mtime double, algo string"
+SNAPSHOTS = "name string, path string, created_at double, uid string"
+LINKS = "uid string, path string, mtime double, algo string"
 
 
 # -- files ---------------------------------------------------------------------
@@ -130,14 +134,29 @@ class HashCache:
         return self.tables["files"].read()
 
     def snapshots(self) -> DataFrame:
-        return self.tables["snapshots"].read()
+        return self._snapshot_rows().drop("uid")
 
     def links(self) -> DataFrame:
-        return self.tables["links"].read()
+        """(snapshot, path, mtime, algo) of the snapshots there are."""
+        names = self._snapshot_rows().select(F.col("name").alias("snapshot"), "uid")
+        return self.tables["links"].read().join(names, "uid").select("snapshot", *KEY).distinct()
+
+    def _snapshot_rows(self) -> DataFrame:
+        return self.tables["snapshots"].read()
 
     def put(self, rows: DataFrame) -> None:
         rows = first_written(rows.select(*[f.name for f in _schema(FILES)]), F.struct("updated_at", "hash"))
-        self.tables["files"].append(new_entries(rows, self.files()))
+        self._add("files", lambda known: new_entries(rows, known))
+
+    def _add(self, name: str, new, tries: int = 5) -> None:
+        """Append ``new(what the table holds)``, computed from one version."""
+        table = self.tables[name]
+
+        def attempt() -> int:
+            version = table.latest()
+            return table.append(new(table.read(version)), parent=version)
+
+        retrying(attempt, tries)
 
     def get(self, path: str, mtime: float, algo: str) -> str | None:
         row = self.files().filter((F.col("path") == path) & (F.col("mtime") == mtime) & (F.col("algo") == algo)).select("hash").first()
@@ -146,34 +165,55 @@ class HashCache:
     def merge(self, other: HashCache, now: float | None = None) -> None:
         """Adopt another cache's entries, snapshots and links that are new
         here. Links go by natural keys, and only those of adopted snapshots."""
-        now = time.time() // 1 if now is None else now
-        names = self.snapshots().select("name")
-        snapshots = other.snapshots().join(names, "name", "left_anti")
-        links = other.links().join(names.withColumnRenamed("name", "snapshot"), "snapshot", "left_anti")
-        rows = new_entries(first_written(other.files(), F.struct("updated_at", "hash")), self.files())
-        self.tables["files"].append(rows.withColumn("updated_at", F.lit(float(now))))
-        self.tables["links"].append(links)
-        self.tables["snapshots"].append(snapshots)
+        now = float(time.time() // 1 if now is None else now)
+        rows = first_written(other.files(), F.struct("updated_at", "hash"))
+        self._add("files", lambda known: new_entries(rows, known).withColumn("updated_at", F.lit(now)), tries=10)
+        theirs = other._snapshot_rows()
+        adopted = theirs.join(self._snapshot_rows().select("name"), "name", "left_anti")
+        links = other.tables["links"].read().join(adopted.select("uid"), "uid", "left_semi")
+        self._add("links", lambda known: links.join(known, ["uid", *KEY], "left_anti"), tries=10)
+        self._add("snapshots", lambda known: theirs.join(known.select("name"), "name", "left_anti"), tries=10)
 
     def drop_snapshot(self, name: str) -> None:
         """Its links go with it; an unknown name changes nothing."""
-        self.tables["snapshots"].delete(F.col("name") == name)
-        self.tables["links"].delete(F.col("snapshot") == name)
+        self._replace(name, None)
+
+    def _replace(self, name: str, row: DataFrame | None) -> None:
+        """Put ``row`` in the place of a snapshot's row, in one commit. Links of
+        what it was can't be seen from then on; they are removed afterwards."""
+        table = self.tables["snapshots"]
+
+        def attempt() -> list[str]:
+            version = table.latest()
+            old = [r[0] for r in table.read(version).filter(F.col("name") == name).select("uid").collect()]
+            if old or row is not None:
+                table.delete(F.col("name") == name, parent=version, instead=row)
+            return old
+
+        if old := retrying(attempt):
+            retrying(lambda: self.tables["links"].delete(F.col("uid").isin(old)))
 
     def link(self, name: str, rows: DataFrame) -> None:
         """Add files to a snapshot; links that exist are not repeated."""
-        new = rows.select(F.lit(name).alias("snapshot"), *KEY).distinct()
-        self.tables["links"].append(new.join(self.links(), ["snapshot", *KEY], "left_anti"))
+        row = self._snapshot_rows().filter(F.col("name") == name).select("uid").first()
+        if row is None:
+            raise ValueError(f"no snapshot {name!r}")
+        self._link(row[0], rows)
+
+    def _link(self, uid: str, rows: DataFrame) -> None:
+        new = rows.select(F.lit(uid).alias("uid"), *KEY).distinct()
+        self._add("links", lambda known: new.join(known.filter(F.col("uid") == uid), ["uid", *KEY], "left_anti"))
 
     def snapshot(self, name: str, path: str, rows: DataFrame, replace: bool = True, now: float | None = None) -> None:
         """Record ``rows`` under a name, in place of what it was or added to it."""
-        known = self.snapshots().filter(F.col("name") == name).limit(1).count() > 0
-        if known and replace:
-            self.drop_snapshot(name)
-        if not known or replace:
-            made = float(time.time() // 1 if now is None else now)
-            self.tables["snapshots"].append(self.spark.createDataFrame([(name, path, made)], SNAPSHOTS))
-        self.link(name, rows)
+        known = self._snapshot_rows().filter(F.col("name") == name).limit(1).count() > 0
+        if known and not replace:
+            self.link(name, rows)
+            return
+        uid, made = uuid.uuid4().hex, float(time.time() // 1 if now is None else now)
+        self._link(uid, rows)  # not seen until the snapshot's row is there
+        row = self.spark.createDataFrame([(name, path, made, uid)], SNAPSHOTS)
+        self._replace(name, row)
 
     def members(self, name: str) -> DataFrame:
         links = self.links().filter(F.col("snapshot") == name).select(*KEY)

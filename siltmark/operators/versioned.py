@@ -17,6 +17,10 @@ starts from the last version that was really processed.
 Manifests are metadata of the size of the file list; each holds what changed
 since its parent, and every ``FULL_EVERY``-th holds the whole list.
 
+A writer names the version its rows were computed from; if another one has
+committed since, its commit is refused (``CommitConflict``), and ``retrying``
+computes the rows again from the new version.
+
 Defined results: null values are ordinary values; rows repeated in the data
 are repeated in the delta; an empty table has an empty delta; a target version
 before the source version gives nothing for a consumer, which never goes back.
@@ -25,58 +29,73 @@ before the source version gives nothing for a consumer, which never goes back.
 from __future__ import annotations
 
 import json
+import random
+import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltmark.session import filesystem, hadoop_path
+from siltmark.session import Folder
 
 FULL_EVERY = 16
+#: Seconds before the second try, and what each further wait is longer by.
+FIRST_WAIT, LONGER = 0.2, 1.25
+
+Made = TypeVar("Made")
 
 
 class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+def retrying(attempt: Callable[[], Made], tries: int = 5) -> Made:
+    """Repeats what lost a race, from its start, after growing waits that differ
+    between writers; other errors, and the last conflict, are raised."""
+    for n in range(tries):
+        try:
+            return attempt()
+        except CommitConflict as conflict:
+            if n + 1 == tries:
+                raise RuntimeError(f"gave up after {tries} tries: {conflict}") from conflict
+        time.sleep(FIRST_WAIT * LONGER**n * random.uniform(1.0, 1.5))
+    raise ValueError(f"tries must be 1 or more, not {tries}")
+
+
 class VersionedTable:
     """Append data files, delete rows, and read versions or deltas."""
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self._fs = filesystem(spark, root)
-        jvm = spark._jvm
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
-        self._no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        self._versions = Folder(spark, f"{self.root}/_versions")
         self._loaded: dict[int, dict] = {}  # manifests never change
+        self._seen: int | None = None
 
     # -- manifests ---------------------------------------------------------
 
-    def _manifest_path(self, version: int) -> str:
-        return f"{self.root}/_versions/{version:012d}.json"
+    @staticmethod
+    def _name(version: int) -> str:
+        return f"{version:012d}.json"
 
     def latest(self) -> int:
-        """The last committed version, 0 for a new table."""
-        folder = hadoop_path(self.spark, f"{self.root}/_versions")
-        if not self._fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()], default=0)
+        """The last committed version, 0 for a new table. Versions have no gaps,
+        so after the first look only those since the last one are looked for."""
+        if self._seen is None:
+            names = self._versions.names()
+            self._seen = max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()], default=0)
+        while self._versions.has(self._name(self._seen + 1)):
+            self._seen += 1
+        return self._seen
 
     def _load(self, version: int) -> dict:
         if version not in self._loaded:
-            self._loaded[version] = self._parse(version)
+            self._loaded[version] = json.loads(self._versions.read(self._name(version)))
         return self._loaded[version]
 
-    def _parse(self, version: int) -> dict:
-        stream = self._fs.open(hadoop_path(self.spark, self._manifest_path(version)))
-        try:
-            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
-        finally:
-            stream.close()
-
     def manifest(self, version: int) -> dict[str, list[str]]:
         """Data file -> its deletion vectors, as of ``version``."""
         chain = []
@@ -113,54 +132,45 @@ class VersionedTable:
             for name, vector in body["vectors"].items():
                 files[name] = [*files[name], vector]
             body["full"] = files
-        tmp = hadoop_path(self.spark, f"{self.root}/_versions/.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps(body).encode()))
-        out.close()
-        try:
-            self._context.rename(tmp, hadoop_path(self.spark, self._manifest_path(version)), self._no_overwrite)
-        except Exception as error:
-            self._fs.delete(tmp, False)
-            if "FileAlreadyExists" in str(error):
-                raise CommitConflict(f"version {version} of {self.root} exists") from error
-            raise
+        if not self._versions.put_new(self._name(version), json.dumps(body).encode()):
+            raise CommitConflict(f"version {version} of {self.root} exists")
         return version
 
     # -- data --------------------------------------------------------------
 
-    def write_files(self, df: DataFrame, by: str | None = None) -> dict:
-        """Write data files without publishing them. Returns their names, as a
-        list under the value of ``by`` (None where that is null or not given)."""
+    def write_files(self, df: DataFrame) -> list[str]:
+        """Write data files without publishing them. Returns their names, in
+        order of the partitions that wrote them (see ``part_number``)."""
         folder = f"data/{uuid.uuid4().hex}"
-        writer = df.select(*([by] if by else []), *[f.name for f in self.schema.fields]).write
-        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{folder}")
-        base = hadoop_path(self.spark, f"{self.root}/{folder}")
-        prefix = len(self._fs.makeQualified(base).toString()) + 1
-        found: dict = {}
-        listing = self._fs.listFiles(base, True)
-        while listing.hasNext():
-            name = listing.next().getPath().toString()[prefix:]
-            if not name.endswith(".parquet"):
-                continue
-            value = None
-            if by:
-                text = name.split("/")[0].partition("=")[2]
-                value = None if text == "__HIVE_DEFAULT_PARTITION__" else text
-            found.setdefault(value, []).append(f"{folder}/{name}")
-        return {k: sorted(v) for k, v in found.items()}
-
-    def append(self, df: DataFrame, meta=None) -> int:
-        parent = self.latest()
-        return self.commit(added=[f for fs in self.write_files(df).values() for f in fs], meta=meta, parent=parent)
-
-    def delete(self, condition, meta=None) -> int:
-        """Delete rows by writing a deletion vector; no data file is rewritten."""
-        parent = self.latest()
-        name = f"_vectors/{uuid.uuid4().hex}"
-        live = self._rows(self.manifest(parent), positions=True)
+        df.select(*[f.name for f in self.schema.fields]).write.parquet(f"{self.root}/{folder}")
+        names = Folder(self.spark, f"{self.root}/{folder}").names()
+        return [f"{folder}/{n}" for n in sorted(names) if n.endswith(".parquet")]
+
+    def append(self, df: DataFrame, meta=None, parent: int | None = None) -> int:
+        """``parent`` is the version ``df`` was computed from, if from this table."""
+        parent = self.latest() if parent is None else parent
+        return self.commit(added=self.write_files(df), meta=meta, parent=parent)
+
+    def delete(self, condition, meta=None, parent: int | None = None, instead: DataFrame | None = None) -> int:
+        """Delete rows by writing a deletion vector; no data file is rewritten.
+        The rows of ``instead`` come in their place in the same commit."""
+        parent = self.latest() if parent is None else parent
+        files, name = self.manifest(parent), f"_vectors/{uuid.uuid4().hex}"
+        live = self._rows(files, positions=True)
         live.filter(condition).select("__file", "__pos").write.parquet(f"{self.root}/{name}")
+        # No longer than the manifest's own list of files.
         hit = [r[0] for r in self._vector(name).select("__file").distinct().collect()]
-        return self.commit(vectors={f: name for f in hit}, meta=meta, parent=parent)
+        if unknown := [f for f in hit if f not in files]:
+            raise ValueError(f"deletion vector names files that version {parent} does not have: {unknown[:3]}")
+        added = self.write_files(instead) if instead is not None else []
+        return self.commit(added=added, vectors={f: name for f in hit}, meta=meta, parent=parent)
+
+    def compact(self, files: list[str], partitions: int = 1, meta=None, parent: int | None = None) -> int:
+        """Move the live rows of ``files`` into new files; no row changes."""
+        parent = self.latest() if parent is None else parent
+        known = self.manifest(parent)
+        rows = self._rows({f: known[f] for f in files})
+        return self.commit(added=self.write_files(rows.repartition(partitions)), removed=files, meta=meta, parent=parent)
 
     def _vector(self, name: str) -> DataFrame:
         return self.spark.read.schema("__file string, __pos long").parquet(f"{self.root}/{name}")
@@ -173,9 +183,9 @@ class VersionedTable:
         df = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{f}" for f in files])
         if not positions:
             return df
-        root = len(self._fs.makeQualified(hadoop_path(self.spark, self.root)).toUri().getPath()) + 1
-        path = F.regexp_replace(F.col("_metadata.file_path"), "^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
-        return df.select(*names, F.substr(path, F.lit(root + 1)).alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+        # The end of the address is of our own making and needs no decoding, whatever the root is called.
+        name = F.regexp_extract(F.col("_metadata.file_path"), "data/[0-9a-f]{32}/[^/]+$", 0)
+        return df.select(*names, name.alias("__file"), F.col("_metadata.row_index").alias("__pos"))
 
     def _rows(self, files: dict[str, list[str]], positions: bool = False) -> DataFrame:
         """Rows of ``files`` that no deletion vector of theirs names."""
@@ -187,16 +197,12 @@ class VersionedTable:
         return plain.unionByName(rows if positions else rows.drop("__file", "__pos"))
 
     def _named(self, files: dict[str, list[str]]) -> DataFrame:
-        """(__file, __pos) of the deletion vectors of ``files``."""
-        by_vector: dict[str, list[str]] = {}
-        for f, names in files.items():
-            for name in names:
-                by_vector.setdefault(name, []).append(f)
-        out = None
-        for name, fs in by_vector.items():
-            part = self._vector(name).filter(F.col("__file").isin(fs))
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], "__file string, __pos long")
+        """(__file, __pos) of the deletion vectors of ``files``. A vector may name
+        other files too; positions are only looked up together with the file."""
+        names = sorted({name for vectors in files.values() for name in vectors})
+        if not names:
+            return self.spark.createDataFrame([], "__file string, __pos long")
+        return self.spark.read.schema("__file string, __pos long").parquet(*[f"{self.root}/{name}" for name in names])
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._rows(self.manifest(self.latest() if version is None else version))
@@ -204,7 +210,8 @@ class VersionedTable:
     def changes(self, since: int, until: int, net: bool = False) -> DataFrame:
         """The rows inserted and deleted between two versions, with
         ``_change`` = ``insert`` or ``delete``. ``net`` cancels rows that were
-        only moved to another file."""
+        only moved to another file (nothing is done for it if only files were
+        added, as the manifests tell)."""
         old, new = self.manifest(since), self.manifest(until)
         added = {f: v for f, v in new.items() if f not in old}
         removed = {f: v for f, v in old.items() if f not in new}
@@ -223,7 +230,7 @@ class VersionedTable:
         parts = [(x, "insert") for x in inserts] + [(x, "delete") for x in deletes]
         parts = parts or [(self._scan([], False), "insert")]
         out = reduce(DataFrame.unionByName, [part.withColumn("_change", F.lit(kind)) for part, kind in parts])
-        if not net:
+        if not net or not deletes:
             return out
         names = [f.name for f in self.schema.fields]
         sign = F.when(F.col("_change") == "insert", 1).otherwise(-1)
@@ -257,10 +264,18 @@ class Consumer:
             raise CommitConflict(f"output is at source version {done}, not {since}")
         return self.output.commit(added=files, meta={"source_version": until, **meta}, parent=parent)
 
-    def run(self, transform, until: int | None = None, **meta) -> int | None:
-        """One run: process the delta with ``transform`` and publish it."""
+    def run(self, transform, until: int | None = None, net: bool = False, before_commit=lambda: None, **meta) -> int | None:
+        """One run: process the delta with ``transform`` and publish it with the
+        progress. ``before_commit`` is called when the output has been written
+        but is not yet visible; if it raises, nothing has happened."""
         since, until = self.pending(until)
         if since == until:
             return None
-        files = self.output.write_files(transform(self.source.changes(since, until)))
-        return self.publish([f for fs in files.values() for f in fs], since, until, **meta)
+        files = self.output.write_files(transform(self.source.changes(since, until, net)))
+        before_commit()
+        return self.publish(files, since, until, **meta)
+
+
+def part_number(name: str) -> int:
+    """The partition that wrote a data file."""
+    return int(name.rpartition("/")[2].split("-")[1])

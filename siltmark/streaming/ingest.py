@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.operators import cache as caches
-from siltmark.operators.versioned import CommitConflict
+from siltmark.operators.versioned import retrying
 
 
 def put_batch(store: caches.HashCache, batch: DataFrame, number: int, stream: str) -> bool:
@@ -27,8 +27,7 @@ def put_batch(store: caches.HashCache, batch: DataFrame, number: int, stream: st
         v -= 1
     rows = caches.first_written(batch.select(*[f.name for f in table.schema.fields]), F.struct("updated_at", "hash"))
     new = caches.new_entries(rows, table.read(version))
-    files = [f for fs in table.write_files(new).values() for f in fs]
-    table.commit(added=files, meta={"stream": stream, "batch": number}, parent=version)
+    table.commit(added=table.write_files(new), meta={"stream": stream, "batch": number}, parent=version)
     return True
 
 
@@ -36,12 +35,6 @@ def stream_into(entries: DataFrame, store: caches.HashCache, checkpoint: str, st
     """Start a query that adds a stream of entries to the cache."""
 
     def write(batch: DataFrame, number: int) -> None:
-        for attempt in range(3):
-            try:
-                put_batch(store, batch, number, stream)
-                return
-            except CommitConflict:
-                if attempt == 2:
-                    raise
+        retrying(lambda: put_batch(store, batch, number, stream))
 
     return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

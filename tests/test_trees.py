@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siltmark import cli
 from siltmark.functions.hashes import HASHES
 from siltmark.operators import cache, digests, manifests, trees
+from siltmark.operators.versioned import VersionedTable
 from siltmark.sources import manifests as formats
 from siltmark.sources.fstree import scan_tree
 from siltmark.streaming import ingest
@@ -293,7 +294,16 @@ def test_command_line(spark, tree, tmp_path, capsys, monkeypatch):
     assert say("--verify") == (0, "file not found: hash.json\n")
     assert say("--merge", db)[0] == 0 and say("--update-cache")[0] == 0
     assert say("/no/such")[0] == 2 and say(str(tree), "-a", "nope")[0] == 2 and say("--diff", "s1", "none")[0] == 2
-    assert cli.expand(["-or", "d/x.json", "p"]) == ["-o", "d/x.json", "-r", "d", "p"]
+    beside = lambda *a: (lambda x: (x.outfile, x.root, x.paths))(cli.parser().parse_args(list(a)))
+    assert beside("-or", "d/x.json", "p") == ("d/x.json", "d", ["p"]) and beside("p", "-or", "x.json") == ("x.json", ".", ["p"])
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "f.txt").write_text("foo")
+    monkeypatch.chdir(tmp_path / "sub")
+    assert say("-a", "md5", "-o", f"{tmp_path}/cwd.json")[0] == 0  # no path is the current folder
+    assert [r["md5"] for r in formats.read_manifest(spark, f"{tmp_path}/cwd.json").collect()] == [hashlib.md5(b"foo").hexdigest()]
+    monkeypatch.setenv("SILTMARK_IGNORE", "*.txt")
+    assert "files: 0" in say("-a", "md5", "-s")[1]
+    monkeypatch.delenv("SILTMARK_IGNORE")
     monkeypatch.setenv("SILTMARK_X", "maybe")
     assert cli.env_bool("SILTMARK_X", True) and not cli.env_bool("SILTMARK_Y", False)
 
@@ -322,3 +332,89 @@ def test_long_and_wide_forms(spark):
     rows = spark.createDataFrame([("p", "md5", "1"), ("q", "c4", None)], "path string, algo string, hash string")
     wide = manifests.wide_form(rows, ["path"], list(HASHES))
     assert [tuple(r) for r in manifests.long_form(wide).collect()] == [("p", "md5", "1")]
+
+
+def test_unpacked_hashes_stay_out_of_the_cache(spark, tree, tmp_path):
+    store = cache.HashCache(spark, f"file://{tmp_path}/c")
+    packed = hashlib.md5((tree / "z.txt.gz").read_bytes()).hexdigest()
+    run = lambda **k: {os.path.basename(r["path"]): (r["md5"], r["cached"]) for r in trees.hash_tree(spark, [str(tree)], "md5", cache=store, **k).collect()}
+    assert run(uncompress=True, snapshot="s")["z.txt.gz"] == (hashlib.md5(b"zipped").hexdigest(), False)
+    assert store.files().count() == 0 and store.snapshots().count() == 0
+    assert run()["z.txt.gz"] == (packed, False) and run()["z.txt.gz"] == (packed, True)
+    assert run(uncompress=True)["z.txt.gz"] == (hashlib.md5(b"zipped").hexdigest(), False)
+
+
+def test_put_computes_again_when_it_loses_a_race(spark, tmp_path, monkeypatch):
+    one, two = (cache.HashCache(spark, f"file://{tmp_path}/c") for _ in range(2))
+    row = lambda value: entries(spark, [("p", 1.0, "md5", value, 1, "i", 1.0)])
+    write_files, raced = VersionedTable.write_files, []
+
+    def write_then_lose(table, df):
+        files = write_files(table, df)
+        if not raced:
+            raced.append(True)
+            two.put(row("first"))
+        return files
+
+    monkeypatch.setattr(VersionedTable, "write_files", write_then_lose)
+    one.put(row("second"))
+    assert [(r["path"], r["hash"]) for r in one.files().collect()] == [("p", "first")]
+
+
+def test_a_snapshot_appears_with_its_last_commit(spark, tmp_path, monkeypatch):
+    store = cache.HashCache(spark, f"file://{tmp_path}/c")
+    rows = entries(spark, [("/r/a", 1.0, "md5", "1", 1, "i", 1.0), ("/r/b", 1.0, "md5", "2", 1, "i", 1.0)])
+    store.put(rows)
+    store.snapshot("s", "/r", rows, now=1.0)
+
+    def crash(*a, **k):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.tables["snapshots"], "delete", crash)
+        for name in ("s", "new"):
+            with pytest.raises(OSError):
+                store.snapshot(name, "/r", rows.limit(1), now=2.0)
+    assert store.members("s").count() == 2 and store.members("new").count() == 0 and store.links().count() == 2
+    other = cache.HashCache(spark, f"file://{tmp_path}/d")
+    with monkeypatch.context() as m:
+        m.setattr(other.tables["snapshots"], "append", crash)
+        with pytest.raises(OSError):
+            other.merge(store, now=3.0)
+    assert other.links().count() == 0
+    other.merge(store, now=4.0)
+    assert other.links().count() == 2 and other.members("s").count() == 2
+    with pytest.raises(ValueError):
+        store.link("unknown", rows)
+
+
+def test_json_of_either_layout(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{\n    "a": {"md5": "1"},\n    "b {": {"md5": "2", "size": 5}\n}\n')
+    (tmp_path / "spread.json").write_text('{\n    "a": {"md5": "1",\n "size": 3},\n    "b": {"md5": "2"}\n}\n')
+    (tmp_path / "pair.json").write_text('{\n"a": {"md5": "1"}, "b": {"md5": "2"}\n}\n')
+    plans = {}
+    for name in ("lines", "spread", "pair"):
+        df = formats.read_manifest(spark, f"{tmp_path}/{name}.json")
+        assert sorted(r["md5"] for r in df.collect()) == ["1", "2"]
+        plans[name] = "monotonically_increasing_id" in df._jdf.queryExecution().toString()
+    assert plans == {"lines": True, "spread": False, "pair": False}
+
+
+def test_folder_hashes_of_files_sort_paths_only(spark, tree):
+    files = scan_tree(spark, [str(tree)])
+    plan = digests.every_folder(files, str(tree), content=None, algo="md5")._jdf.queryExecution().executedPlan().toString()
+    assert "binary" not in plan and "content" not in plan
+    nested = {r["path"]: r["hash"] for r in trees.path_hashes(spark, str(tree), "md5", "d").collect()}
+    joined = b"".join((tree / n).read_bytes() for n in sorted(KEPT))
+    assert nested[str(tree)] == hashlib.md5(joined).hexdigest() == trees.folder_hash(spark, str(tree), "md5")
+
+
+def test_shared_folder_on_a_cluster_must_be_named(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from siltmark.session import shared_root
+
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_root(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
+    assert shared_root(spark)
