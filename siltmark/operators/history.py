@@ -10,9 +10,9 @@ ends at one whose upper neighbour is clear. Runs are the periods of validity; a
 gap in the positions, or another value between, ends a run and the value's
 return starts another.
 
-An entity that holds more than a thousandth of the rows is cut, in order, into
-range parts on several tasks; each part is given the last row of the part
-before it as a halo, and version numbers are continued from counts per part.
+A hot entity (see ``skew``) is cut, in order, into range parts on several tasks;
+each part is given the last row of the part before it as a halo, and version
+numbers are continued from counts per part.
 
 Defined results: rows with null time or null in a ``required`` column are left
 out; nulls in entity or other attributes are values equal to each other; ties
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.operators.skew import hot_keys, is_hot
+from siltmark.operators import skew
 from siltmark.session import cut
 
 WORD = 62
@@ -78,14 +78,15 @@ def versions(rows: DataFrame, entity: list[str], attrs: list[str], order: str, t
     """All versions of every entity: entity, attributes, ``file_id`` (``order``
     of the opening row), ``version_no``, ``valid_from``, ``valid_to``,
     ``closed_by`` (null for the last version) and ``n_versions``."""
-    spark = rows.sparkSession
     names = list(dict.fromkeys([*entity, *attrs, order, time]))
     rows = rows.select(*names)
     for c in [time, *required]:
         rows = rows.filter(F.col(c).isNotNull())
-    key = F.xxhash64(*entity)  # only says where to split, so a collision does no harm
-    hot = hot_keys(rows.select(key.alias("k")))
-    flat = rows.filter(~is_hot(key, hot)).withColumn("__part", F.lit(0)).withColumn("__halo", F.lit(False))
+    key = skew.hash_of(*entity)
+    hot = skew.hot_keys(rows.selectExpr(f"{key} AS k"))
+    n = parts or hot.agg(F.sum("__salts")).first()[0] or 0
+    flagged = skew.flag_hot(rows, key, hot, "__hot") if n else rows.withColumn("__hot", F.lit(False))
+    flat = flagged.filter("not __hot").drop("__hot").withColumn("__part", F.lit(0)).withColumn("__halo", F.lit(False))
     opened = _openings(flat, entity, attrs, order, time)
     by_entity = Window.partitionBy(*entity, "__part").orderBy("__pos")
     whole = Window.partitionBy(*entity, "__part")
@@ -97,11 +98,10 @@ def versions(rows: DataFrame, entity: list[str], attrs: list[str], order: str, t
 
     out = [*entity, *attrs, F.col(order).alias("file_id"), "version_no", F.col(time).alias("valid_from"), "valid_to", "closed_by", "n_versions"]
     result = numbered(opened).select(*out)
-    if not hot:
+    if not n:
         return result
 
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.filter(is_hot(key, hot)).repartitionByRange(n, *entity, time, order)
+    ranged = flagged.filter("__hot").drop("__hot").repartitionByRange(n, *entity, time, order)
     ranged = cut(ranged.withColumn("__part", F.spark_partition_id()), "history")  # parts must stay as they are from here on
     # One row per hot entity and part: bounded by (hot entities + parts).
     ends = ranged.groupBy(*entity, "__part").agg(F.max(F.struct(time, order, *attrs)).alias("e"))
@@ -116,7 +116,7 @@ def versions(rows: DataFrame, entity: list[str], attrs: list[str], order: str, t
             .withColumn("__next", F.lead("__first").over(following)).withColumn("__next_at", F.lead("__at").over(following))
             .withColumn("__all", F.sum("__n").over(rest)))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*entity, "__part"]]
-    joined = local.alias("l").join(F.broadcast(sums.alias("s")), same)  # at most (hot entities + parts) rows
+    joined = local.alias("l").join(sums.alias("s"), same)  # a part is on one task, so no key here is hot
     joined = joined.select(*[F.col(f"l.{c}") for c in names], (F.col("version_no") + F.col("__before")).alias("version_no"),
                            F.coalesce("closed_by", "__next").alias("closed_by"), F.coalesce("valid_to", "__next_at").alias("valid_to"),
                            F.col("__all").alias("n_versions"))

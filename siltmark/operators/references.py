@@ -8,9 +8,10 @@ run's latest time cannot be early, so only the rest is compared with its own
 parent's time, exactly.
 
 Keys are cut into blocks of ``BLOCK`` consecutive integers; runs end at block
-borders, so a block is matched alone, by one sort. Blocks that hold more than a
-thousandth of the references are spread over salts, their runs (at most
-``BLOCK`` / 2) repeated for each.
+borders, so a block is matched alone, by one sort. Hot blocks (see ``skew``) are
+spread over as many salts as they have references for tasks, their runs (at
+most ``BLOCK`` / 2) and, for the comparison with parents' times, their parents
+(at most ``BLOCK``) repeated for each.
 
 References alike in key, ``carry`` columns and period are combined first, in
 each task before the shuffle, keeping their earliest time.
@@ -26,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltmark.operators.skew import hot_keys, salt_lookup, salt_rows
+from siltmark.operators.skew import hash_of, hot_keys, salt_lookup, salt_rows
+from siltmark.session import cut
 
 BLOCK = 4096
-SALTS = 64
 
 
 def month(seconds: str):
@@ -41,24 +42,30 @@ def combined(links: DataFrame, keys: list[str], time: str) -> DataFrame:
     return links.groupBy(*keys, month(time).alias("period")).agg(F.min(time).alias("__time"))
 
 
-def key_runs(parents: DataFrame, key: str, time: str) -> DataFrame:
+def earliest(parents: DataFrame, key: str, time: str) -> DataFrame:
+    """(__block, __k, __came): every parent key once, with its earliest time."""
+    one = parents.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("__k")).agg(F.min(time).alias("__came"))
+    return one.withColumn("__block", F.expr(f"shiftright(__k, {BLOCK.bit_length() - 1})"))
+
+
+def key_runs(one: DataFrame) -> DataFrame:
     """(__block, start, stop, latest): runs of contiguous keys in each block."""
-    one = parents.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("__k")).agg(F.min(time).alias("__t"))
-    one = one.withColumn("__block", F.floor(F.col("__k") / BLOCK).cast("long"))
     run = F.col("__k") - F.row_number().over(Window.partitionBy("__block").orderBy("__k"))
     return one.withColumn("__run", run).groupBy("__block", "__run").agg(
-        F.min("__k").alias("start"), F.max("__k").alias("stop"), F.max("__t").alias("latest")).drop("__run")
+        F.min("__k").alias("start"), F.max("__k").alias("stop"), F.max("__came").alias("latest")).drop("__run")
 
 
 def broken_references(refs: DataFrame, ref: str, parents: DataFrame, key: str, time: str) -> DataFrame:
-    """``refs`` (from ``combined``) that are broken, with ``problem`` =
-    ``missing`` or ``late``."""
+    """``refs`` (from ``combined``, best from a written table as it is read
+    twice) that are broken, with ``problem`` = ``missing`` or ``late``."""
     names = refs.columns
-    refs = refs.filter(F.col(ref).isNotNull()).withColumn("__block", F.floor(F.col(ref) / BLOCK).cast("long"))
-    hot = hot_keys(refs.select("__block"))
-    block = F.col("__block")
-    left = salt_rows(refs, block, hot, F.struct(*names), SALTS, "__salt").withColumn("__k", F.col(ref).cast("long"))
-    runs = salt_lookup(key_runs(parents, key, time), block, hot, SALTS, "__salt")
+    refs = refs.filter(F.col(ref).isNotNull()).withColumn("__k", F.col(ref).cast("long"))
+    refs = refs.withColumn("__block", F.expr(f"shiftright(__k, {BLOCK.bit_length() - 1})"))
+    block = hash_of("__block")
+    hot = hot_keys(refs.selectExpr(f"{block} AS k"))
+    left = salt_rows(refs, block, hot, hash_of(*names))
+    one = cut(earliest(parents, key, time), "parents")
+    runs = salt_lookup(key_runs(one), block, hot)
     runs = runs.select("__block", "__salt", F.col("start").alias("__k"), F.struct("start", "stop", "latest").alias("__r"))
     # Runs sort before the references to their own start.
     both = left.unionByName(runs, allowMissingColumns=True).withColumn("__is_ref", F.col("__r").isNull())
@@ -67,8 +74,8 @@ def broken_references(refs: DataFrame, ref: str, parents: DataFrame, key: str, t
     missing = F.col("__r").isNull() | (F.col("__k") > F.col("__r.stop"))
     maybe_late = F.col("__time") < F.col("__r.latest")
     broken = matched.withColumn("__missing", missing).filter(missing | maybe_late)
-    orphans = broken.filter("__missing").select(*names, F.lit("missing").alias("problem"))
-    suspects = broken.filter("not __missing").select(*names, "__k")
-    came = parents.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("__k")).agg(F.min(time).alias("__came"))
-    late = suspects.join(came, "__k").filter("__time < __came").select(*names, F.lit("late").alias("problem"))
-    return orphans.unionByName(late)
+    came = salt_lookup(one, block, hot).withColumnRenamed("__k", "__ck")
+    suspect = ~F.col("__missing") & (F.col("__k") == F.col("__ck"))
+    found = broken.alias("b").join(came.alias("c"), (F.col("b.__block") == F.col("c.__block")) & (F.col("b.__salt") == F.col("c.__salt")) & suspect, "left")
+    late = F.col("__missing") | (F.col("__time") < F.col("__came"))
+    return found.filter(late).select(*[F.col(f"b.`{c}`") for c in names], F.when(F.col("__missing"), "missing").otherwise("late").alias("problem"))

@@ -8,8 +8,9 @@ an addition or a removal, unequal hashes are a change.
 Defined results: snapshots with null time or null tree are left out; equal
 times are put in order by snapshot id; links repeated or leading to no row count
 once or not at all; a snapshot may be empty; nulls in the primary key are
-values equal to each other; a null value (or several, if rows of one key in a
-snapshot differ, then the largest) has no hash and is never a change.
+values equal to each other; if rows of one key in a snapshot differ, the one of
+the largest values stands for them; null values alone have no hash and are never
+a change.
 """
 
 from __future__ import annotations
@@ -40,9 +41,10 @@ def snapshot_changes(snapshots: DataFrame, links: DataFrame, rows: DataFrame, pr
     just before to ``snapshot_id``."""
     order = snapshot_order(snapshots, sid, tree, time)
     link = links.select(F.col(link_sid).alias("__s"), F.col(link_row).alias("__row")).dropna().distinct()
-    part = rows.select(F.col(row_id).alias("__row"), *primary, row_hash(*values).alias("__hash"))
-    held = link.join(part, "__row")
-    held = held.groupBy("__s", *primary).agg(F.max(F.hex("__hash")).alias("__hash"))
+    part = rows.select(F.col(row_id).alias("__row"), *primary, *[F.col(v).alias(f"__v{i}") for i, v in enumerate(values)])
+    names = [f"__v{i}" for i in range(len(values))]
+    held = link.join(part, "__row").groupBy("__s", *primary).agg(F.max(F.struct(*names)).alias("__v"))
+    held = held.select("__s", *primary, "__v.*").select("__s", *primary, row_hash(*names).alias("__hash"))
     now = held.join(order.filter("__prev is not null").select(F.col("__sid").alias("__s"), F.col("__sid").alias("__at")), "__s")
     then = held.join(order.filter("__next is not null").select(F.col("__sid").alias("__s"), F.col("__next").alias("__at")), "__s")
     now, then = now.drop("__s").alias("n"), then.drop("__s").alias("t")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltmark.operators import compare, history, incremental, references, snapdiff, treeagg
 from siltmark.operators.versioned import VersionedTable
-from siltmark.session import shared_path
+from siltmark.session import cut, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,15 +76,25 @@ def p2_membership(spark, d):
     at = F.row_number().over(Window.partitionBy("path").orderBy("created_at", "id")) - 1
     order = order.select(F.col("id").alias("snapshot_id"), F.col("path").alias("tree"), at.cast("long").alias("pos"))
     links = table(spark, d, "snapshot_files").select("snapshot_id", "file_id").distinct()
-    held = links.join(F.broadcast(order), "snapshot_id")  # one row per snapshot, 24 at every scale
+    held = links.join(order, "snapshot_id")
     rows = held.join(table(spark, d, "files").select(F.col("id").alias("file_id"), "path", "algo", "hash"), "file_id")
     return history.intervals(rows, ["tree", "path", "algo"], ["hash"], "pos")
 
 
-def p4_found(spark, d):
+def _differences(spark, d):
     return compare.differences(table(spark, d, "files"), table(spark, d, "files_replica"), "id", FIELDS, "not_in_replica", "not_in_files")
 
 
+def p4_found(spark, d):
+    return _differences(spark, d).filter(~F.col("field").isin(*compare.SEVERAL)).select("id", "field")
+
+
+def p4_cells(spark, d):
+    """Every cell that differs, with both values (times aside, whose text is not
+    the same in every engine)."""
+    return _differences(spark, d).filter("field <> 'mtime'")
+
+
 def p4_summary(spark, d):
     return p4_found(spark, d).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
@@ -100,7 +110,7 @@ def p5_found(spark, d):
 
 
 def _references(spark, d):
-    links = references.combined(table(spark, d, "snapshot_files"), ["snapshot_id", "file_id"], "linked_at")
+    links = cut(references.combined(table(spark, d, "snapshot_files"), ["snapshot_id", "file_id"], "linked_at"), "links")
     to_files = references.broken_references(links, "file_id", table(spark, d, "files"), "id", "updated_at")
     to_snapshots = references.broken_references(links, "snapshot_id", table(spark, d, "snapshots"), "id", "created_at")
     return to_files.withColumn("ref_table", F.lit("files")).unionByName(to_snapshots.withColumn("ref_table", F.lit("snapshots")))
@@ -124,7 +134,7 @@ def p7_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_run_sizes, p1_deltas, p1_replica_deltas, p2_found, p2_history, p2_membership, p4_found, p4_summary, p5_found, p5_totals,
+    p1_found, p1_run_sizes, p1_deltas, p1_replica_deltas, p2_found, p2_history, p2_membership, p4_found, p4_cells, p4_summary, p5_found, p5_totals,
     p6_found, p6_by_period, p7_found, p7_counts)}
 
 _ROW = ", ".join(["id", *FIELDS])
@@ -147,6 +157,7 @@ b AS (SELECT DISTINCT id, path, mtime, algo, hash, size, inode FROM files_replic
 d AS (SELECT id, 'not_in_replica' AS field FROM a WHERE id NOT IN (SELECT id FROM b)
 UNION ALL SELECT id, 'not_in_files' FROM b WHERE id NOT IN (SELECT id FROM a)
 """ + "".join(f"UNION ALL SELECT a.id, '{f}' FROM a JOIN b USING (id) WHERE a.{f} IS DISTINCT FROM b.{f}\n" for f in FIELDS) + ")"
+_CELL = lambda side: "CASE field " + " ".join(f"WHEN '{f}' THEN {side}.{f}::VARCHAR" for f in FIELDS if f != "mtime") + " END"
 _BROKEN = """
 WITH l AS (SELECT snapshot_id, file_id, linked_at, strftime(to_timestamp(floor(linked_at)) AT TIME ZONE 'UTC', '%Y-%m') AS period FROM snapshot_files),
 b AS (SELECT DISTINCT 'files' AS ref_table, CASE WHEN f.id IS NULL THEN 'missing' ELSE 'late' END AS problem, snapshot_id, file_id, period
@@ -182,6 +193,8 @@ h AS (SELECT DISTINCT tree, f.path, f.algo, f.hash, pos FROM snapshot_files l JO
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY tree, path, algo, hash ORDER BY pos) AS island FROM h)
 SELECT tree, path, algo, hash, min(pos) AS first_pos, max(pos) AS last_pos FROM g GROUP BY tree, path, algo, hash, island""",
     "p4_found": _DIFFS + "SELECT id, field FROM d",
+    "p4_cells": _DIFFS + f"""SELECT d.id, field, {_CELL('a')} AS left_value, {_CELL('b')} AS right_value
+FROM d LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE field <> 'mtime'""",
     "p4_summary": _DIFFS + "SELECT field, count(*) AS n FROM d GROUP BY field",
     "p5_found": "SELECT hash FROM files WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) * 100 >= (SELECT count(*) FROM files)",
     "p5_totals": "SELECT hash, count(*) AS n_rows, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size FROM files WHERE hash IS NOT NULL GROUP BY hash",

@@ -8,8 +8,8 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.operators import compare, history, incremental, references, snapdiff, treeagg
-from siltmark.operators.versioned import CommitConflict, Consumer, VersionedTable
+from siltmark.operators import compare, history, incremental, prefilter, references, skew, snapdiff, treeagg
+from siltmark.operators.versioned import CommitConflict, Consumer, VersionedTable, retrying
 from siltmark.plans import data_queries
 
 FILES = "id long, path string, mtime double, algo string, hash string, size long, inode string, updated_at double"
@@ -69,7 +69,7 @@ def test_runs_publish_before_the_next_reads(spark, monkeypatch):
     rows = [row(1, "a", 1.0), row(2, None, 1.0), row(3, "a", 2.0), row(4, "b", 2.0), row(5, None, 3.0), row(6, "b", 3.0)]
     runs = [(1, 0.0, 0.0, "ok", 1.0), (2, 0.0, 0.0, "ok", 2.0), (3, 0.0, 0.0, "failed", 3.0), (4, 0.0, 0.0, "ok", 3.0)]
     out = incremental.replay(spark.createDataFrame(rows, FILES), spark.createDataFrame(runs, RUNS))
-    assert calls == [(0, 1), 1, (1, 2), 2, (2, 3), 4]
+    assert calls == [(0, 1), 1, (1, 2), 2, (2, 3), (2, 3), 4]  # run 3 reads what run 4 is given again
     assert got(out) == Counter([(1, 1), (1, 2), (2, 4)])
 
 
@@ -104,7 +104,7 @@ def test_deltas_between_any_two_versions(spark, tmp_path):
     t.delete(F.col("k").isin(1, 4))
     states[4] = [2]
     # Compaction: the live row moves to a new file.
-    t.commit(added=[f for fs in t.write_files(t.read()).values() for f in fs], removed=list(t.manifest(4)))
+    t.compact(list(t.manifest(4)))
     states[5] = [2]
     for v, ks in states.items():
         assert sorted(r["k"] for r in t.read(v).collect()) == ks
@@ -118,6 +118,90 @@ def test_deltas_between_any_two_versions(spark, tmp_path):
             assert {k: n for k, n in change.items() if n} == {k: n for k, n in expected.items() if n}, (a, b)
 
 
+@pytest.mark.parametrize("name", ["a b", "p%20q", "grün+x", "s#1&2"])
+def test_deletion_vectors_whatever_the_root_is_called(spark, tmp_path, name):
+    t = versioned(spark, tmp_path, name)
+    first = t.append(spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k long, v string").repartition(2))
+    t.delete(F.col("k") < 3)
+    assert sorted(r["k"] for r in t.read().collect()) == [3, 4, 5]
+    assert Counter(r["_change"] for r in t.changes(first, t.latest()).collect()) == {"delete": 3}
+    assert sorted(r["k"] for r in versioned(spark, tmp_path, name).read().collect()) == [3, 4, 5]
+
+
+def test_deletion_vectors_of_unknown_files_are_refused(spark, tmp_path, monkeypatch):
+    t = versioned(spark, tmp_path)
+    t.append(spark.createDataFrame([(1, "a")], "k long, v string"))
+    elsewhere = spark.createDataFrame([("data/none", 0)], "__file string, __pos long")
+    monkeypatch.setattr(t, "_rows", lambda files, positions=False: elsewhere)
+    with pytest.raises(ValueError):
+        t.delete(F.lit(True))
+    assert t.latest() == 1
+
+
+def test_rows_replaced_in_one_commit(spark, tmp_path):
+    t = versioned(spark, tmp_path)
+    rows = lambda *ks: spark.createDataFrame([(k, f"v{k}") for k in ks], "k long, v string")
+    t.append(rows(1, 2))
+    assert t.delete(F.col("k") == 1, instead=rows(3)) == 2
+    assert [sorted(r["k"] for r in t.read(v).collect()) for v in (1, 2)] == [[1, 2], [2, 3]]
+
+
+def test_writers_that_lose_a_race_try_again(spark, tmp_path, monkeypatch):
+    waits = []
+    monkeypatch.setattr("siltmark.operators.versioned.time.sleep", waits.append)
+    left = [3]
+
+    def attempt():
+        left[0] -= 1
+        if left[0] >= 0:
+            raise CommitConflict("lost")
+        return "done"
+
+    assert retrying(attempt) == "done" and len(waits) == 3
+    assert 0.2 <= waits[0] <= 0.3 and all(0.2 * 1.25**n <= w <= 0.3 * 1.25**n for n, w in enumerate(waits))
+    left[0] = 99
+    with pytest.raises(RuntimeError):
+        retrying(attempt)
+    with pytest.raises(KeyError):
+        retrying(lambda: {}["x"])
+    t, row = versioned(spark, tmp_path), spark.createDataFrame([(1, "a")], "k long, v string")
+    t.append(row, parent=0)
+    with pytest.raises(CommitConflict):
+        versioned(spark, tmp_path).append(row, parent=0)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_runs_over_compacted_files(spark, seed, monkeypatch):
+    rows = files_rows(150, seed)
+    status = {3: "failed", 4: None, 6: "failed"}
+    runs = [(i, 0.0, 0.0, status.get(i, "ok"), float(c)) for i, c in enumerate([1, 2, 3, 4, 3, 5, 6, 6], 1)]
+    commits = []
+    commit = VersionedTable.commit
+    monkeypatch.setattr(VersionedTable, "commit", lambda t, added=(), removed=(), vectors=None, **k: commits.append((bool(removed), bool(vectors))) or commit(t, added, removed, vectors, **k))
+    out = incremental.replay(frame(spark, rows), spark.createDataFrame(runs, RUNS), compact_every=2)
+    assert got(out) == brute_runs(rows, runs)
+    assert (True, False) in commits and (False, True) in commits  # files moved, and rows deleted by a vector
+
+
+def test_files_follow_the_size_of_slices(spark, tmp_path, monkeypatch):
+    rows = frame(spark, [(i, "p", 1.0, "md5", str(i), 1, None, float(i % 4)) for i in range(400)], parts=16)
+    runs = spark.createDataFrame([(i + 1, 0.0, 0.0, "ok", float(i)) for i in range(4)], RUNS)
+    source, _ = incremental.load(rows, runs, "id", "updated_at", ["path", "hash"])
+    assert len(source.manifest(source.latest())) == 4
+    monkeypatch.setattr(incremental, "LEAST_ROWS", 30)
+    monkeypatch.setattr(incremental, "MOST_ROWS", 30)
+    source, _ = incremental.load(rows, runs, "id", "updated_at", ["path", "hash"])
+    assert len(source.manifest(source.latest())) <= 16 and source.read().count() == 400
+
+
+def test_prefilter_only_leaves_out_what_cannot_match(spark, monkeypatch):
+    monkeypatch.setattr(prefilter, "BITS", 1 << 12)
+    rows = spark.createDataFrame([(i, f"k{i}" if i % 50 else None) for i in range(3000)], "id long, k string")
+    wanted = spark.createDataFrame([(f"k{i}",) for i in range(0, 40)] + [(None,)], "w string")
+    kept = {r["id"] for r in prefilter.maybe_among(rows, wanted, ["k"], ["w"]).collect()}
+    assert set(range(1, 40)) | set(range(0, 3000, 50)) <= kept and len(kept) < 400
+
+
 def test_deltas_of_every_algo(spark, tmp_path):
     ours = [r[:7] for r in files_rows(60, 5)]
     theirs = [(*r[:3], "crc32" if r[0] % 10 == 0 else r[3], *r[4:]) for r in ours[5:]] + ours[7:9] * 3
@@ -257,13 +341,25 @@ def test_differences(spark, seed):
     right.append((3000, "p", float("nan"), "a", "h", None, "i", 2.0))
     r.shuffle(right)
     out = compare.differences(frame(spark, left), frame(spark, right), "id", KEYS, "l", "r", bucket_rows=20)
-    assert got(out) == brute_differences(left, right)
+    assert got(out.filter("field not like 'several%'").select("id", "field")) == brute_differences(left, right)
+    cells = {(r["id"], r["field"]): (r["left_value"], r["right_value"]) for r in out.filter("field in ('path', 'size')").collect()}
+    smallest = lambda rows, k: min((tuple((v is not None, v) for v in r[1:7]) for r in rows if r[0] == k))
+    for (k, f), values in cells.items():
+        at = KEYS.index(f)
+        assert values == tuple(None if v is None else str(v) for v in (smallest(left, k)[at][1], smallest(right, k)[at][1]))
 
 
 def test_rows_of_one_key_that_differ_are_compared_by_the_smallest(spark):
     left = [(1, "b", 1.0, "a", "h", 1, "i", 1.0), (1, None, 1.0, "a", "h", 1, "i", 1.0)]
     right = [(1, None, 1.0, "a", "h", 1, "i", 1.0)]
-    assert compare.differences(frame(spark, left), frame(spark, right), "id", KEYS).count() == 0
+    assert [r["field"] for r in compare.differences(frame(spark, left), frame(spark, right), "id", KEYS).collect()] == ["several_in_left"]
+    assert [r["field"] for r in compare.differences(frame(spark, right), frame(spark, left), "id", KEYS).collect()] == ["several_in_right"]
+
+
+def test_buckets_are_dealt_to_tasks_by_their_number(spark):
+    rows = frame(spark, [(i, "p", 1.0, "a", "h", 1, "i", 1.0) for i in range(400)])
+    out = compare.differences(rows, rows, "id", KEYS, bucket_rows=10)
+    assert out.count() == 0 and "hashpartitioning(__bucket#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 21)" in plan
 
 
 def test_differences_with_an_empty_side(spark):
@@ -290,6 +386,19 @@ def test_tree_totals(spark, fan_in, parts):
     assert heavy == {k for k in n if k is not None and n[k] * 100 >= 500 * 30}
 
 
+def test_tree_totals_of_too_few_chunks_are_whole(spark):
+    df = spark.range(0, 3000, 1, 300).selectExpr("cast(id % 3 as string) hash", "id size")
+    out = treeagg.tree_totals(df, ["hash"], "size", chunks=64)
+    assert {r["hash"]: (r["n_rows"], int(r["total"])) for r in out.collect()} == {str(k): (1000, sum(range(k, 3000, 3))) for k in range(3)}
+
+
+def test_tree_has_rounds(spark, tmp_path):
+    spark.range(0, 900, 1, 9).selectExpr("cast(id % 7 as string) hash", "id size").write.parquet(f"{tmp_path}/t")
+    out = treeagg.tree_totals(spark.read.parquet(f"{tmp_path}/t"), ["hash"], "size", chunks=64)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert treeagg.chunk_count(spark.read.parquet(f"{tmp_path}/t")) >= 1
+
+
 def test_tree_totals_of_nothing(spark):
     assert treeagg.tree_totals(spark.createDataFrame([], "hash string, size long"), ["hash"], "size").count() == 0
 
@@ -351,9 +460,7 @@ def test_snapshot_changes(spark, seed):
         if s is not None and f in by_id:
             p, a, h = by_id[f]
             held[s][(p, a)].add(text(h))
-    from hashlib import md5
-    digest = lambda h: md5(f"={h}".encode()).hexdigest()
-    best = lambda hs: max((digest(h) for h in hs if h is not None), default=None)
+    best = lambda hs: max((h for h in hs if h is not None), default=None)
     expected = Counter()
     for tree in ("t", "u"):
         order = sorted((c, i) for i, p, c in snaps if p == tree and c is not None)
@@ -371,6 +478,37 @@ def test_snapshot_changes(spark, seed):
     assert got(out) == expected
 
 
+def test_several_hashes_of_one_key_in_a_snapshot(spark):
+    snaps = spark.createDataFrame([(1, "t", 1.0), (2, "t", 2.0), (3, "t", 3.0)], "id long, path string, created_at double")
+    rows = spark.createDataFrame([(1, "p", "md5", "a1"), (2, "p", "md5", "d4")], "id long, path string, algo string, hash string")
+    links = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 2), (3, 1)], "snapshot_id long, file_id long")
+    out = snapdiff.snapshot_changes(snaps, links, rows, ["path", "algo"], ["hash"])
+    assert got(out) == Counter({(2, "p", "md5", "changed"): 1, (3, "p", "md5", "changed"): 1})
+
+
+def test_hot_keys_are_salted_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_ROWS", 10)
+    keys = spark.createDataFrame([(k,) for k, n in enumerate([5, 10, 11, 95]) for _ in range(n)] + [(100 + i,) for i in range(2500) for _ in range(12)], "k long")
+    hot = {r["__key"]: r["__salts"] for r in skew.hot_keys(keys).collect()}
+    assert len(hot) == 2502 and (hot[2], hot[3], hot[100]) == (2, 10, 2) and 1 not in hot
+    monkeypatch.setattr(skew, "MAX_HOT", 100)  # rows for a task follow the size of the whole
+    assert skew.hot_keys(keys).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_joins_of_hot_keys(spark, hot, how):
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(["hot"] * 50 + ["a", "b", None] * 7)], "id long, k string")
+    right = spark.createDataFrame([("hot", 1), ("a", 2), (None, 3), ("c", 4)], "k string, v long")
+    known = {"hot": 1, "a": 2, None: 3}
+    expected = Counter()
+    for i, k in enumerate(["hot"] * 50 + ["a", "b", None] * 7):
+        if how == "left_semi" and k in known or how == "left_anti" and k not in known:
+            expected[(i, k)] += 1
+        elif how == "left" or how == "inner" and k in known:
+            expected[(i, k, known.get(k))] += 1
+    assert got(skew.skew_join(left, right, ["k"], how)) == expected
+
+
 def test_changes_of_no_snapshots(spark):
     out = snapdiff.snapshot_changes(spark.createDataFrame([], "id long, path string, created_at double"), spark.createDataFrame([(1, 1)], "snapshot_id long, file_id long"),
                                     spark.createDataFrame([(1, "a", "b", "c")], "id long, path string, algo string, hash string"), ["path", "algo"], ["hash"])
