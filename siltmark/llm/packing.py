@@ -8,8 +8,9 @@ best-fit rounds: in each, the underfull containers of ``fan_in`` neighbouring
 groups are packed into each other. After a round at most one container of a
 group is half empty, so of each group the ``carry`` emptiest go up and the rest,
 which could take nothing more from one another, are final as they are. A merge
-task therefore holds at most ``fan_in`` * ``carry`` items at any size of input;
-no item is dropped at any point.
+task therefore holds the underfull containers of ``fan_in`` input splits in the
+first round, and at most ``fan_in`` * ``carry`` in later ones, at any size of
+input; no item is dropped at any point.
 
 Defined results: an item of null size is left out; an item of size 0 or less
 counts 0 and goes to a container of its partition; sizes equal to the capacity
@@ -143,6 +144,12 @@ def pack(items: DataFrame, size: str, keep: list[str], capacity: int, full: floa
     return out.join(cut(moved, "moved"), "bin", "left").select(*names, F.coalesce("root", "bin").alias("container"))
 
 
+def split_items(packed: DataFrame, keep: list[str]) -> DataFrame:
+    """The items of which pieces lie in more than one container."""
+    spread = packed.groupBy(*keep).agg(F.max("piece").alias("__last"), F.min("container").alias("__first_in"), F.max("container").alias("__last_in"))
+    return spread.filter("__last > 0 and __first_in <> __last_in").select(*keep)
+
+
 def fill_report(packed: DataFrame, size: str, capacity: int) -> DataFrame:
     """Containers, their tokens, the least number that could hold them, and the
     share of space that is used."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltmark.llm import mixing, packing, repetition, tokens, variants
+from siltmark.llm import mixing, packing, repetition, sql, tokens, variants
 from siltmark.session import cut
 
 
@@ -20,14 +20,13 @@ def p3_found(spark, d):
 
 def p3_copies(spark, d):
     """One record per entry line, with its number of copies and spellings."""
-    found = variants.survivors(_table(spark, d, "raw_lines"), "line_id", *variants.entry_lines())
-    return variants.groups(found).drop("canon")
+    return variants.records(_table(spark, d, "raw_lines"), "line_id", *variants.entry_lines())
 
 
 def p3_records(spark, d):
     """One record per entry of both tables, with its number of copies and spellings."""
-    files = variants.groups(variants.survivors(_table(spark, d, "files"), "id", *variants.file_rows())).withColumn("tbl", F.lit("files"))
-    lines = variants.groups(variants.survivors(_table(spark, d, "raw_lines"), "line_id", *variants.entry_lines())).withColumn("tbl", F.lit("raw_lines"))
+    files = variants.records(_table(spark, d, "files"), "id", *variants.file_rows()).withColumn("tbl", F.lit("files"))
+    lines = variants.records(_table(spark, d, "raw_lines"), "line_id", *variants.entry_lines()).withColumn("tbl", F.lit("raw_lines"))
     return files.unionByName(lines).select("tbl", "keep_id", "copies", "spellings")
 
 
@@ -51,12 +50,12 @@ def p8_fill(spark, d):
 
 
 def p8_found(spark, d):
-    return p8_packing(spark, d).filter("piece > 0").select("doc_id").distinct()
+    return packing.split_items(p8_packing(spark, d), ["doc_id"])
 
 
-def _mixed(spark, d):
-    sized = cut(_sized(spark, d, "doc_id", "source"), "sized")
-    return mixing.mix(sized, _table(spark, d, "mix_targets"))
+def _mixed(spark, d, **options):
+    sized = _sized(spark, d, "doc_id", "source", "votes").withColumn("w", 1 + F.log1p(F.greatest(F.coalesce("votes", F.lit(0)), F.lit(0))))
+    return mixing.mix(cut(sized, "sized"), _table(spark, d, "mix_targets"), **options)
 
 
 def p9_mix(spark, d):
@@ -68,7 +67,18 @@ def p9_shares(spark, d):
     return _mixed(spark, d)[1]
 
 
+def p9_weighted(spark, d):
+    """Shares where documents of more votes are drawn more often."""
+    return _mixed(spark, d, weight="w")[1]
+
+
+def p9_exact(spark, d):
+    """Shares in a mix of the size at which those that can be reached are exact."""
+    return _mixed(spark, d, base="exact")[1]
+
+
 def p9_found(spark, d):
+    """The sources of which all documents have been used as often as allowed, in vain."""
     return _mixed(spark, d)[1].filter("not reachable").select("source")
 
 
@@ -78,20 +88,26 @@ def _judged(spark, d):
 
 def p10_documents(spark, d):
     """Measures and verdicts of every document and its host."""
-    return _judged(spark, d)
+    return _judged(spark, d).withColumn("rate", F.round("rate", 9))
 
 
 def p10_words(spark, d):
     return repetition.measures(_table(spark, d, "documents"), "doc_id", "text", "source").select(F.col("doc").alias("doc_id"), "n_words", "repeated_words")
 
 
+def p10_hosts(spark, d):
+    """Documents, failures and shrunk rate of every host."""
+    judged = cut(repetition.with_rules(repetition.measures(_table(spark, d, "documents"), "doc_id", "text", "source")), "measures")
+    return repetition.host_verdicts(judged).withColumn("rate", F.round("rate", 9))
+
+
 def p10_found(spark, d):
-    """Read from the written verdicts, so that hosts are judged and joined back."""
-    return cut(_judged(spark, d), "judged").filter("words_fail").select("doc_id").distinct()
+    """Of the documents that came back from the join with their hosts' verdicts."""
+    return _judged(spark, d).filter("words_fail and host_bad is not null").select("doc_id").distinct()
 
 
 QUERIES = {f.__name__: f for f in (
-    p3_found, p3_copies, p3_records, p8_found, p8_packing, p8_fill, p9_found, p9_mix, p9_shares, p10_found, p10_documents, p10_words)}
+    p3_found, p3_copies, p3_records, p8_found, p8_packing, p8_fill, p9_found, p9_mix, p9_shares, p9_weighted, p9_exact, p10_found, p10_documents, p10_words, p10_hosts)}
 
 _LETTERS = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 _SIGN = r"""[\s\p{Z}"''`«»“”‘’„‚‹›]*[=:]"""
@@ -103,13 +119,14 @@ def _field_sql(name: str) -> str:
 
 
 _LINES = f"lines AS (SELECT line_id, {', '.join(_field_sql(f) for f in variants.LINE_FIELDS)} FROM raw_lines)"
-_WORDS = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1) AS i FROM documents),
-g AS (SELECT doc_id, i, string_agg(word, ' ') OVER v AS gram, count(*) OVER v AS n FROM w WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
-r AS (SELECT doc_id, i, n = 8 AND row_number() OVER (PARTITION BY doc_id, gram, n ORDER BY i) > 1 AS again FROM g),
-m AS (SELECT doc_id, i, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS marked FROM r),
-c AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (marked) AS repeated_words FROM m GROUP BY doc_id)
-"""
+_WORDS = "WITH " + sql.WORDS
 ORACLES = {
+    "p8_found": f"WITH {sql.TOKENS} SELECT doc_id FROM n WHERE n > (SELECT max(capacity) FROM packs)",
+    "p9_found": f"""WITH {sql.TOKENS} SELECT t.source FROM mix_targets t LEFT JOIN (SELECT source, sum(n) AS n FROM n GROUP BY source) h USING (source)
+WHERE coalesce(h.n, 0) * max_repeats < target_share * (SELECT sum(n) FROM n)""",
+    "p10_hosts": _WORDS + ", " + sql.RULES + "SELECT host, docs, failures, round(rate, 9) AS rate, rate > 0.2 AS host_bad FROM r2",
+    "p10_documents": _WORDS + ", " + sql.RULES + """SELECT doc_id, j.source, n_words, repeated_words, line_share, paragraph_share, sentence_share, words_fail, lines_fail, paragraphs_fail,
+sentences_fail, round(rate, 9) AS rate, rate > 0.2 AS host_bad FROM j JOIN r2 ON j.source IS NOT DISTINCT FROM host""",
     "p10_found": _WORDS + "SELECT doc_id FROM c WHERE repeated_words * 10 > n_words * 3",
     "p10_words": _WORDS + "SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(repeated_words, 0) AS repeated_words FROM documents LEFT JOIN c USING (doc_id)",
     "p3_found": f"""WITH {_LINES}, a AS (

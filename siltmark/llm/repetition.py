@@ -6,8 +6,7 @@ and sentences that repeat an earlier one. Each share has a rule (a threshold).
 Rule failures are added up by host; a host's rate is shrunk towards the rate of
 all hosts by a beta prior fitted to the hosts' rates (method of moments), so a
 host of few documents isn't judged by chance; verdicts on hosts are joined back
-to the documents. Hosts with more than a thousandth of the documents are spread
-over salts in that join.
+to the documents. Hot hosts (see ``skew``) are spread over salts in that join.
 
 Runs of words are compared exactly: words become numbers, and ranks of pairs,
 pairs of pairs and so on become numbers again, for many documents at a time.
@@ -28,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.operators.skew import hot_keys, salt_lookup, salt_rows
+from siltmark.operators.skew import skew_join
 
 RUN = 8
-SALTS = 64
 SLICE_CHARS = 4_000_000
 #: Largest shares that pass, per rule.
 LIMITS = {"words": 0.30, "lines": 0.30, "paragraphs": 0.30, "sentences": 0.30}
@@ -156,11 +154,7 @@ def judge(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str =
     """Every document with its measures, rules, and its host's rate and verdict.
     ``written`` keeps the measures, which are read twice."""
     judged = written(with_rules(measures(docs, doc, text, host, run), limits))
-    verdicts = host_verdicts(judged, bad_rate)
-    key = F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("-"))  # null is a host too
-    left = judged.withColumn("__host", key)
-    hot = hot_keys(left.select("__host"))
-    left = salt_rows(left, F.col("__host"), hot, F.struct("doc", "n_words"), SALTS, "__salt")
-    right = salt_lookup(verdicts.withColumn("__host", key).select("__host", "rate", "host_bad"), F.col("__host"), hot, SALTS, "__salt")
-    out = left.join(right, ["__host", "__salt"], "left").drop("__host", "__salt")
+    verdicts = host_verdicts(judged, bad_rate).select("host", "rate", "host_bad")
+    # Every document has a host with a verdict, if only the null one.
+    out = skew_join(judged, verdicts, ["host"], "inner")
     return out.withColumnRenamed("doc", doc).withColumnRenamed("host", host)

@@ -7,10 +7,11 @@ are one record. Three steps, each on less data than the one before:
 2. only the distinct survivors are canonicalised;
 3. survivors are grouped again on their full canonical text, counts summed.
 
-Between steps rows go by 128 bits of SHA-256 of their whole text, so what is
-shuffled does not grow with the length of texts. Looking up which row is a copy
-of which joins by those keys; keys that hold more than a thousandth of the rows
-are spread over salts.
+A group is of rows whose canonical columns are equal as they are; no digest
+stands for them. Which row is a copy of which is looked up by joins on a hash of
+the columns, which are then compared whole. Only rows that may have a partner go
+into these joins (see ``prefilter``), and hot keys (see ``skew``) are spread over
+salts.
 
 Defined results: a null value is alike to null only; an empty text, or one
 without letters and digits, is alike to every other such text; a line that
@@ -24,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.operators import skew
-from siltmark.operators.skew import salt_lookup, salt_rows
+from siltmark.operators.prefilter import maybe_among
+from siltmark.operators.skew import hash_of, hot_keys, skew_join
 from siltmark.session import cut
 
-SALTS = 64
 #: The fields an entry line names.
 LINE_FIELDS = ["path", "inode", "size", "algo", "hash"]
 
@@ -59,54 +59,50 @@ def fields_in_order(line: Column, names: list[str] = LINE_FIELDS) -> Column:
     return F.array_join(F.array_sort(F.slice(parts, F.lit(2), F.size(parts))), _FIELD)
 
 
-def text_key(*columns: Column) -> Column:
-    """128 bits of SHA-256 over the columns' whole texts; a length before each
-    text keeps different rows apart, nulls are marked."""
-    parts = []
-    for c in columns:
-        text = c.cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.unhex(F.substring(F.sha2(F.encode(F.concat(*parts), "utf-8"), 256), 1, 32))
-
-
-def survivors(rows: DataFrame, id_col: str, raw: dict[str, Column], canonical) -> DataFrame:
-    """Steps 1 and 2: (canon, raw, first, n), a row per distinct raw row;
-    ``canonical`` makes its columns from the raw ones."""
-    rows = rows.select(F.col(id_col).alias("__id"), *[c.alias(f"__{k}") for k, c in raw.items()])
+def survivors(rows: DataFrame, id_col: str, raw: dict[str, Column], canonical, keep_raw: bool = False) -> DataFrame:
+    """Steps 1 and 2: the canonical columns ``__c0``, ..., ``first`` and ``n``, a
+    row per distinct raw row; ``canonical`` makes its columns from the raw ones,
+    which are kept as ``__<name>`` if asked for."""
     keys = [f"__{k}" for k in raw]
+    rows = rows.select(F.col(id_col).alias("__id"), *[c.alias(f"__{k}") for k, c in raw.items()])
     distinct = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
     columns = canonical({k: F.col(f"__{k}") for k in raw})
-    return distinct.select(text_key(*columns).alias("canon"), text_key(*[F.col(k) for k in keys]).alias("raw"), "first", "n")
+    return distinct.select(*[c.alias(f"__c{i}") for i, c in enumerate(columns)], *(keys if keep_raw else []), "first", "n")
+
+
+def _canon(found: DataFrame) -> list[str]:
+    return [c for c in found.columns if c.startswith("__c") and c[3:].isdigit()]
 
 
 def groups(found: DataFrame) -> DataFrame:
-    """Step 3: (canon, keep_id, copies, spellings) from ``survivors``."""
-    return found.groupBy("canon").agg(F.min("first").alias("keep_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("spellings"))
+    """Step 3: canonical columns, keep_id, copies, spellings from ``survivors``."""
+    return found.groupBy(*_canon(found)).agg(F.min("first").alias("keep_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("spellings"))
 
 
-def _hot(keys: DataFrame, key: str, n: str, total: int) -> list:
-    """Keys that hold more than a thousandth: fewer than ``MAX_HOT`` of them."""
-    return [r[0] for r in keys.filter(F.col(n) > max(skew.MIN_ROWS, total // skew.MAX_HOT)).select(key).collect()]
+def records(rows: DataFrame, id_col: str, raw: dict[str, Column], canonical) -> DataFrame:
+    """(keep_id, copies, spellings): one record per entry."""
+    return groups(survivors(rows, id_col, raw, canonical)).select("keep_id", "copies", "spellings")
 
 
 def copies(rows: DataFrame, id_col: str, raw: dict[str, Column], canonical) -> DataFrame:
     """(keep_id, copy_id): every row that is not the kept one of its copies."""
-    found = cut(survivors(rows, id_col, raw, canonical), "survivors")
-    multiple = cut(groups(found).filter("copies > 1"), "groups")
-    total = rows.count()
-    hot = _hot(multiple, "canon", "spellings", total)
-    left = salt_rows(found, F.col("canon"), hot, F.col("raw"), SALTS, "__salt")
-    right = salt_lookup(multiple.select("canon", "keep_id"), F.col("canon"), hot, SALTS, "__salt")
-    spelled = cut(left.join(right, ["canon", "__salt"]).select("raw", "first", "n", "keep_id"), "spelled")
-    out = spelled.filter("first <> keep_id").select("keep_id", F.col("first").alias("copy_id"))
-    # Byte-identical rows: only those have to be looked up one by one.
-    repeated = spelled.filter("n > 1")
-    hot = _hot(repeated, "raw", "n", total)
-    every = rows.select(F.col(id_col).alias("copy_id"), text_key(*raw.values()).alias("raw"))
-    left = salt_rows(every, F.col("raw"), hot, F.col("copy_id"), SALTS, "__salt")
-    right = salt_lookup(repeated.select("raw", "first", "keep_id"), F.col("raw"), hot, SALTS, "__salt")
-    same = left.join(right, ["raw", "__salt"]).filter("copy_id <> first").select("keep_id", "copy_id")
-    return out.unionByName(same)
+    found = cut(survivors(rows, id_col, raw, canonical, keep_raw=True), "survivors")
+    canon, keys = _canon(found), [f"__{k}" for k in raw]
+    # Records of several spellings: their survivors are told which row is kept.
+    several = cut(groups(found).filter("spellings > 1").select(*canon, "keep_id", "spellings"), "groups")
+    hot = hot_keys(several.selectExpr(f"{hash_of(*canon)} AS k", "spellings"), total=found.count(), n="spellings")
+    joined = skew_join(maybe_among(found, several, canon), several.drop("spellings"), canon, "inner", hot)
+    spelled = cut(joined.select(*keys, "first", "n", "keep_id"), "spelled")
+    other = spelled.filter("first <> keep_id").select("keep_id", F.col("first").alias("copy_id"))
+    # Rows written alike byte by byte: only those have to be looked up one by one.
+    alike = found.filter("n > 1").select(*keys, "first", "n")
+    known = spelled.filter("n > 1").select(*keys, "keep_id")
+    alike = skew_join(alike, known, keys, "left", hot.limit(0)).withColumn("keep_id", F.coalesce("keep_id", "first"))
+    alike = cut(alike, "alike")
+    hot = hot_keys(alike.selectExpr(f"{hash_of(*keys)} AS k", "n"), total=rows.count(), n="n")
+    every = rows.select(F.col(id_col).alias("copy_id"), *[c.alias(f"__{k}") for k, c in raw.items()])
+    same = skew_join(maybe_among(every, alike, keys), alike.drop("n"), keys, "inner", hot)
+    return other.unionByName(same.filter("copy_id <> first").select("keep_id", "copy_id"))
 
 
 def file_rows() -> tuple[dict[str, Column], object]:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.llm import mixing
+from siltmark.llm import mixing, queries
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -80,7 +80,64 @@ def test_weights_make_inclusion_unequal(spark):
     used, _ = mixed(spark, docs, [("a", 0.4, 1)], weight="w")
     heavy = sum(n for d, _, _, n in used if d % 2)
     assert abs(sum(n for *_, n in used) - 1600) <= 1 and 1130 <= heavy <= 1270  # 0.6 and 0.2 of 2000 each
-    assert mixing._copies(10, [(1.0, 10.0), (4.0, 5.0)], 1) == pytest.approx([0.5, 1.0])
+
+
+def brute_factor(docs, goal, most):
+    """The factor by bisection."""
+    size = lambda f: sum(t * min(w * f, most) for t, w in docs)
+    low, high = 0.0, 1.0
+    while size(high) < goal:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if size(mid) < goal else (low, mid)
+    return high
+
+
+@pytest.mark.parametrize("share,most", [(0.02, 1), (0.5, 1), (0.85, 1), (0.9, 3)])
+def test_continuous_weights(spark, share, most):
+    r = random.Random(5)
+    docs = [(i, "a", r.randrange(1, 100), r.choice([r.lognormvariate(0, 2), None, 0.0, -1.0, float("nan"), 1e6])) for i in range(1500)] + [(2000, "b", 500, 1.0)]
+    used, report = mixed(spark, docs, [("a", share, most)], weight="w")
+    weight = lambda w: 1.0 if w is None else 0.0 if w != w or w < 0 else w
+    own = [(t, weight(w)) for _, s, t, w in docs if s == "a"]
+    goal, usable = share * sum(d[2] for d in docs), sum(t for t, w in own if w > 0)
+    copies = {d: n for d, _, _, n in used}
+    if usable * most <= goal:
+        assert not report["a"]["reachable"] and report["a"]["tokens_taken"] == usable * most
+        return
+    factor = brute_factor(own, goal, most)
+    for d, s, t, w in docs[:1500]:
+        m = min(weight(w) * factor, most)
+        assert int(m + 1e-6) <= copies.get(d, 0) + 1e-9 and copies.get(d, 0) <= m + 1
+    assert goal - 100 <= report["a"]["tokens_taken"] <= goal + 1 and report["a"]["reachable"]
+
+
+@pytest.mark.parametrize("most_broadcast", [100_000, 0])
+def test_exact_shares_of_those_that_can_reach_them(spark, most_broadcast, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", most_broadcast)  # joined in salted parts if 0
+    docs = [(i, "aaab"[i % 4], 1, None) for i in range(4000)] + [(i, "c", 1, None) for i in range(4000, 4100)]
+    targets = [("a", 0.5, 1), ("b", 0.2, 1), ("c", 0.3, 2)]
+    _, every = mixed(spark, docs, targets)
+    assert not every["c"]["reachable"] and every["a"]["share_of_base"] == pytest.approx(0.5, abs=1e-3) and every["a"]["error"] == pytest.approx(0, abs=1e-3)
+    assert every["a"]["reached_share"] > 0.6  # of what the mix holds
+    used, exact = mixed(spark, docs, targets, base="exact")
+    assert sum(n for *_, n in used) == pytest.approx(200 / 0.3, abs=3)
+    for s, share, _ in targets:
+        assert exact[s]["reached_share"] == pytest.approx(share, abs=5e-3) and exact[s]["error"] == pytest.approx(0, abs=5e-3)
+    with pytest.raises(ValueError):
+        mixed(spark, docs, targets, base="none")
+
+
+def test_sources_found_are_used_up(spark, tmp_path, monkeypatch):
+    """They come from the drawn documents: without these, all fall short."""
+    text = "word " * 50
+    spark.createDataFrame([(i, text, "ab"[i % 2], 1) for i in range(40)] + [(99, text, "c", None)], "doc_id long, text string, source string, votes long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.3, 1), ("b", 0.4, 1), ("c", 0.2, 2), ("d", 0.1, 5)], TARGETS).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert {r[0] for r in queries.p9_found(spark, str(tmp_path)).collect()} == {"c", "d"}
+    cut, labels = mixing.cut, []
+    monkeypatch.setattr(mixing, "cut", lambda df, label: labels.append(label) or (df.limit(0) if label == "mix" else cut(df, label)))
+    assert queries.p9_found(spark, str(tmp_path)).count() == 1 and "mix" in labels  # only d, which holds nothing, has all of it taken
 
 
 def test_nulls_empty_and_repeated_targets(spark):
@@ -93,11 +150,15 @@ def test_nulls_empty_and_repeated_targets(spark):
     assert used == [] and report["a"]["tokens_taken"] == 0 and report["a"]["reachable"]
 
 
-def test_many_rows_of_few_target_sources(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_CLASSES", 3)
+def test_many_rows_of_few_target_sources(spark):
     docs = [(i, "ab"[i % 2], 10, None) for i in range(100)]
     targets = [("a", 0.0625, 1)] * 4 + [("b", 0.125, 1), ("b", 0.25, 2), (None, 0.5, 1)]
     _, report = mixed(spark, docs, targets)
     assert {s: (r["target_share"], r["max_repeats"]) for s, r in report.items()} == {"a": (0.25, 1), "b": (0.375, 2)}
-    with pytest.raises(ValueError, match="target sources"):
-        mixed(spark, docs, [(s, 0.25, 1) for s in "abcd"])
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 10)
+    docs = [(i, f"s{i % 300}", 10, None) for i in range(6000)]
+    used, report = mixed(spark, docs, [(f"s{k}", 1 / 300, 1) for k in range(300)])
+    assert len(report) == 300 and len(used) >= 5700 and all(r["tokens_taken"] >= 190 for r in report.values())

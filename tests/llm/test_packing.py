@@ -75,3 +75,13 @@ def test_token_sizes(spark):
     enc = tokens.encoding(tokens.VOCABULARY)
     assert out == {i: None if t is None else len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
     assert out[1] == 0 and out[2] == 2
+
+
+def test_split_items_come_from_the_containers(spark, tmp_path):
+    items = [(1, 100), (2, 101), (3, 250), (4, None), (5, 0), (6, 7), (6, 7), (6, 90)]
+    df = spark.createDataFrame(items, "doc_id long, n long").repartition(6)
+    packed = packing.pack(df, "n", ["doc_id"], 100, fan_in=2)
+    found = packing.split_items(packed, ["doc_id"])
+    assert {r[0] for r in found.collect()} == {2, 3}
+    # The containers the pieces were moved to take part: the join is in the plan.
+    assert "Join" in found._jdf.queryExecution().optimizedPlan().toString()

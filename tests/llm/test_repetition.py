@@ -87,6 +87,7 @@ def test_found_documents_come_from_the_joined_verdicts(spark, tmp_path, monkeypa
     def broken(judged, bad_rate):
         return verdicts(judged, bad_rate).withColumn("host_bad", F.raise_error(F.lit("host judged")).cast("boolean"))
 
+    assert "Join" in queries.p10_found(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(repetition, "host_verdicts", broken)
     with pytest.raises(Exception, match="host judged"):
         queries.p10_found(spark, str(tmp_path)).collect()
