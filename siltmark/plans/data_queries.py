@@ -133,9 +133,14 @@ def p7_counts(spark, d):
     return p7_found(spark, d).groupBy("snapshot_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p7_paths(spark, d):
+    """Changes of paths whatever the algorithm: a path has several hashes in a snapshot, of which the largest counts."""
+    return snapdiff.snapshot_changes(table(spark, d, "snapshots"), table(spark, d, "snapshot_files"), table(spark, d, "files"), ["path"], ["hash"])
+
+
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_run_sizes, p1_deltas, p1_replica_deltas, p2_found, p2_history, p2_membership, p4_found, p4_cells, p4_summary, p5_found, p5_totals,
-    p6_found, p6_by_period, p7_found, p7_counts)}
+    p6_found, p6_by_period, p7_found, p7_counts, p7_paths)}
 
 _ROW = ", ".join(["id", *FIELDS])
 _NEW = """
@@ -201,5 +206,6 @@ FROM d LEFT JOIN a USING (id) LEFT JOIN b USING (id) WHERE field <> 'mtime'""",
     "p6_found": _BROKEN + "SELECT * FROM b",
     "p6_by_period": _BROKEN + "SELECT ref_table, problem, period, count(*) AS n FROM b GROUP BY ALL",
     "p7_found": _CHANGES + "SELECT * FROM c WHERE status IS NOT NULL",
+    "p7_paths": _CHANGES.replace(", f.algo", "").replace("path, algo, ", "path, ").replace(" AND n.algo = t.algo", "").replace("coalesce(n.algo, t.algo) AS algo,", "") + "SELECT * FROM c WHERE status IS NOT NULL",
     "p7_counts": _CHANGES + "SELECT snapshot_id, status, count(*) AS n FROM c WHERE status IS NOT NULL GROUP BY ALL",
 }

@@ -24,7 +24,7 @@ ALGOS = list(HASHES)
 DIFF = ("vault-01", "vault-02")
 DIFF_ROOT = "/srv/vault/prj_001"
 GLOB = "/srv/*/prj_0[0-4]*/?*/[!x]*.m*"
-SINCE = 1_715_000_000.0
+SINCE = "2024-05-06T14:53:20+02:00"
 QUERIES: dict = {}
 
 
@@ -112,7 +112,9 @@ def path_uncompressed(spark, d):
 
 @query
 def path_output(spark, d):
-    return manifests.uncompressed(manifest(spark, d).select("path", "name", "size")).select("path", "name", "size")
+    """Records as they are written when packed files are unpacked, here to ten times their size."""
+    rows = manifest(spark, d).select("path", "name", "size", (F.col("size") * 10).alias("unpacked"))
+    return manifests.uncompressed(rows, "unpacked").select("path", "name", "size")
 
 
 @query
@@ -185,7 +187,7 @@ def cache_query_exact(spark, d):
 
 @query
 def cache_query_since(spark, d):
-    return cache.query(_files(spark, d, *COLUMNS), "*", "md5", SINCE)
+    return cache.query(_files(spark, d, *COLUMNS), "*", "md5", cache.since_seconds(spark, SINCE))
 
 
 @query

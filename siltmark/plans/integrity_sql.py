@@ -176,7 +176,7 @@ ORACLES = {
     "path_normalize": f"""WITH n AS (SELECT id, {_normal("(path || '/.././/' || id || '/x/..')")} AS normal FROM files)
 SELECT id, normal, CASE WHEN starts_with(normal, '/srv/vault/') THEN substr(normal, 12) ELSE normal END AS relative FROM n""",
     "path_uncompressed": "SELECT id, regexp_replace(path, '(?i)\\.gz$', '') AS path FROM files",
-    "path_output": f"WITH {_M1} SELECT regexp_replace(path, '(?i)\\.gz$', '') AS path, regexp_replace(name, '(?i)\\.gz$', '') AS name, size FROM m1",
+    "path_output": f"WITH {_M1} SELECT regexp_replace(path, '(?i)\\.gz$', '') AS path, regexp_replace(name, '(?i)\\.gz$', '') AS name, CASE WHEN path ILIKE '%.gz' THEN size * 10 ELSE size END AS size FROM m1",
     "path_is_subpath": "SELECT id, starts_with(path, '/srv/vault/') AS below FROM files",
     "paths_equal": f"""WITH o AS (SELECT DISTINCT id, '//' || path || '/.' AS other FROM files_replica)
 SELECT id, other, {_normal('path')} = {_normal('other')} AS equal FROM files JOIN o USING (id)""",
@@ -193,7 +193,7 @@ SELECT id, path FROM a WHERE NOT {_ignored('name')} AND NOT list_bool_or(list_tr
     "cache_ids": "SELECT id FROM files",
     "cache_query_glob": f"SELECT id, {_COLS} FROM files WHERE algo = 'xxh64' AND regexp_full_match(path, '(?s)/srv/.*/prj_0[0-4].*/..*/[^x].*\\.m.*')",
     "cache_query_exact": f"SELECT id, {_COLS} FROM files WHERE path = (SELECT max(path) FROM files)",
-    "cache_query_since": f"SELECT id, {_COLS} FROM files WHERE algo = 'md5' AND updated_at >= {SINCE}",
+    "cache_query_since": f"SELECT id, {_COLS} FROM files WHERE algo = 'md5' AND updated_at >= epoch(TIMESTAMPTZ '{SINCE}')",
     "cache_lookup": """WITH k AS (SELECT path, mtime, algo, min(hash) AS cached_hash FROM files WHERE hash IS NOT NULL GROUP BY ALL)
 SELECT r.id, r.path, r.mtime, r.algo, cached_hash FROM files_replica r LEFT JOIN k USING (path, mtime, algo)""",
     "cache_has": "SELECT r.id, r.path FROM files_replica r WHERE EXISTS (SELECT 1 FROM files f WHERE f.path = r.path AND f.mtime = r.mtime AND f.algo = r.algo AND f.hash = r.hash)",
