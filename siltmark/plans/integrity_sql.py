@@ -49,7 +49,7 @@ def _fold(v: str) -> str:
     return f"xor(x, {_round('0::UHUGEINT', v)})"
 
 
-_XXH64 = f"""WITH b AS (SELECT id, hex(path) AS h, octet_length(encode(path)) AS n FROM files),
+_XXH64 = f"""WITH b AS (SELECT <id> AS id, hex(<text>) AS h, octet_length(encode(<text>)) AS n FROM <table>),
 l AS (SELECT *, {_lane(_m(f'{_P1} + {_P2}'), 0)} AS v1, {_lane(_P2, 1)} AS v2, {_lane('0::UHUGEINT', 2)} AS v3, {_lane(f'({2**64}::UHUGEINT - {_P1})', 3)} AS v4 FROM b),
 s AS (SELECT *, {_m(f"{_rotl('v1', 1)} + {_rotl('v2', 7)} + {_rotl('v3', 12)} + {_rotl('v4', 18)}")} AS x FROM l),
 s1 AS (SELECT * REPLACE ({_m(f"{_fold('v1')} * {_P1} + {_P4}")} AS x) FROM s),
@@ -65,7 +65,12 @@ t1 AS (SELECT id, list_reduce(list_transform(range(n - o), lambda i: {_word('o +
   lambda v, w: {_m(f"{_rotl(f"xor(v, {_m(f'w * {_P5}')})", 11)} * {_P1}")}, x) AS x FROM t4),
 f1 AS (SELECT id, {_m(f"xor(x, x // {2**33}::UHUGEINT) * {_P2}")} AS x FROM t1),
 f2 AS (SELECT id, {_m(f"xor(x, x // {2**29}::UHUGEINT) * {_P3}")} AS x FROM f1)
-SELECT id, printf('%016x', xor(x, x // {2**32}::UHUGEINT)::UBIGINT) AS hash FROM f2"""
+SELECT id AS <id>, printf('%016x', xor(x, x // {2**32}::UHUGEINT)::UBIGINT) AS hash FROM f2"""
+
+
+def _xxh64(table: str, key: str, text: str) -> str:
+    return _XXH64.replace("<table>", table).replace("<id>", key).replace("<text>", text)
+
 
 _CRC32 = """WITH t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: xor(c // 2, (c % 2) * 3988292384), i) AS v FROM range(256) r(i))),
 b AS (SELECT doc_id, hex(text) AS h, octet_length(encode(text)) AS n FROM documents)
@@ -169,7 +174,8 @@ ORACLES = {
     "hash_md5": "SELECT doc_id, md5(text) AS hash FROM documents",
     "hash_sha256": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "hash_crc32": _CRC32,
-    "hash_xxh64_paths": _XXH64,
+    "hash_xxh64": _xxh64("documents", "doc_id", "text"),
+    "hash_xxh64_paths": _xxh64("files", "id", "path"),
     "stat_projection": f"WITH {_DOCS} SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(path, '/[^/]*$', '') AS dirname, {_BYTES} AS size, doc_id::DOUBLE AS mtime FROM docs",
     "manifest_scan": f"WITH {_DOCS} SELECT path, {_BYTES} AS size, md5(text) AS md5 FROM docs",
     "path_basename_dirname": f"SELECT id, regexp_extract(path, '[^/]*$') AS name, {_DIRNAME} AS dirname FROM files",

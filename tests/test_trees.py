@@ -418,3 +418,19 @@ def test_shared_folder_on_a_cluster_must_be_named(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         shared_root(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: None)))
     assert shared_root(spark)
+
+
+def test_progress_is_shown_on_a_terminal(spark):
+    import io
+    import time
+
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    terminal, plain = Terminal(), io.StringIO()
+    for out in (terminal, plain):
+        with cli.progress(spark, 0.01, out):
+            spark.range(0, 1000, 1, 8).selectExpr("count(distinct id)").collect()
+            time.sleep(0.1)
+    assert "tasks" in terminal.getvalue() and plain.getvalue() == ""
