@@ -18,8 +18,9 @@ round one sum per source. The rank at which to stop is found by sums per bucket
 of ranks, then exactly within one bucket whose size does not grow with the input.
 
 ``base`` is the size that shares are of: ``all`` documents, of whatever source;
-or ``exact``, what the sources that can't reach their share hold, divided by
-their shares, so that the others' reached shares of the mix are exact.
+or ``exact``, the largest size up to that of which every source that holds
+anything can reach its share, so that the sources are in the mix in exactly the
+proportion of their targets.
 
 Defined results: null sizes and sizes below 0 count 0; null weights are 1, those
 below 0 (and NaN) 0, and documents of weight 0 are never drawn; documents of no
@@ -27,8 +28,7 @@ target source (or none at all) count in the total and are never drawn; repeated
 documents are documents of their own; a source without documents reaches 0; null
 or repeated targets: a null share is 0, null repeats are 1, rows of one source
 are added up (their largest repeats hold); without documents or targets there
-are no rows drawn; where ``exact`` has no answer (nothing is held by those that
-fall short, or none does), it is as ``all``.
+are no rows drawn.
 """
 
 from __future__ import annotations
@@ -59,9 +59,9 @@ def _goals(docs: DataFrame, targets: DataFrame, base: str) -> tuple[DataFrame, f
     plan = wanted.join(held, "s", "left").fillna({"tokens": 0, "usable": 0, "mass": 0.0, "top": 0.0})
     size = float(held.agg(F.sum("tokens")).first()[0] or 0)
     if base == "exact":
-        short = F.col("usable") * F.col("most") < F.col("share") * F.lit(size)
-        has, asked = plan.filter(short).agg(F.sum(F.col("usable") * F.col("most")), F.sum("share")).first()
-        size = float(has) / asked if has and asked else size
+        room = F.col("usable") * F.col("most") / F.col("share")
+        least = plan.filter("usable > 0 and most > 0 and share > 0").agg(F.min(room)).first()[0]
+        size = size if least is None else min(size, least)
     elif base != "all":
         raise ValueError(f"base {base!r} is neither 'all' nor 'exact'")
     return cut(plan.withColumn("goal", F.col("share") * F.lit(size)), "goals"), size

@@ -117,14 +117,16 @@ def test_continuous_weights(spark, share, most):
 def test_exact_shares_of_those_that_can_reach_them(spark, most_broadcast, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_BROADCAST", most_broadcast)  # joined in salted parts if 0
     docs = [(i, "aaab"[i % 4], 1, None) for i in range(4000)] + [(i, "c", 1, None) for i in range(4000, 4100)]
-    targets = [("a", 0.5, 1), ("b", 0.2, 1), ("c", 0.3, 2)]
+    targets = [("a", 0.5, 1), ("b", 0.2, 1), ("c", 0.3, 2), ("none", 0.0, 1), ("empty", 0.1, 4)]
+    targets = [(s, share / 1.1, most) for s, share, most in targets]
     _, every = mixed(spark, docs, targets)
-    assert not every["c"]["reachable"] and every["a"]["share_of_base"] == pytest.approx(0.5, abs=1e-3) and every["a"]["error"] == pytest.approx(0, abs=1e-3)
+    assert not every["c"]["reachable"] and every["a"]["share_of_base"] == pytest.approx(0.5 / 1.1, abs=1e-3) and every["a"]["error"] == pytest.approx(0, abs=1e-3)
     assert every["a"]["reached_share"] > 0.6  # of what the mix holds
     used, exact = mixed(spark, docs, targets, base="exact")
     assert sum(n for *_, n in used) == pytest.approx(200 / 0.3, abs=3)
-    for s, share, _ in targets:
-        assert exact[s]["reached_share"] == pytest.approx(share, abs=5e-3) and exact[s]["error"] == pytest.approx(0, abs=5e-3)
+    for s, share, _ in targets[:4]:
+        assert exact[s]["reached_share"] == pytest.approx(share * 1.1, abs=5e-3) and exact[s]["error"] == pytest.approx(0, abs=5e-3)
+    assert exact["empty"]["tokens_taken"] == 0 and not exact["empty"]["reachable"] and exact["empty"]["error"] == pytest.approx(-0.1 / 1.1)
     with pytest.raises(ValueError):
         mixed(spark, docs, targets, base="none")
 
