@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKET_ROWS, BUCKETS_PER_TASK, MOST_TASKS = 16_000, 2, 100_000
+BUCKET_ROWS, BUCKETS_PER_TASK, MOST_TASKS = 4_000, 8, 100_000
 #: ``field`` of a key whose rows on one side differ from each other.
 SEVERAL = ("several_in_left", "several_in_right")
 
