@@ -1,10 +1,11 @@
 """Leaving out, before a shuffle, what can't match.
 
-The hashes of the wanted keys are bits of a bitmap of at most ``BITS``, in words
-of 64 that stand in a table of (number, word). Rows whose bit isn't set are
-dropped where they are read. Others may or may not match, so an exact join
-always follows: the bitmap only saves shuffling. It is of a fixed size, so it
-saves less where there are more keys than bits, and changes no result.
+The hashes of the wanted keys are bits of a bitmap of ``BITS``, kept as a table
+of (number, word of 64 bits) that has no more rows than there are keys, or
+``BITS`` / 64. Rows whose bit isn't set are dropped where they are read. Others
+may or may not match, so an exact join always follows: the bitmap only saves
+shuffling. It saves less where there are more keys than bits, and changes no
+result.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 24
+BITS = 1 << 27
 
 
 def maybe_among(rows: DataFrame, wanted: DataFrame, keys: list[str], wanted_keys: list[str] | None = None) -> DataFrame:
