@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from siltmark.functions.hashes import DEFAULT_ALGO, content_hash, hasher_maker
 from siltmark.functions.paths import ancestors, under_root
-from siltmark.operators.skew import skew_join
+from siltmark.operators.skew import hash_of, hot_keys, skew_join
+from siltmark.session import cut
 
 CHUNK = 1 << 20
 
@@ -94,8 +95,11 @@ def duplicates(entries: DataFrame, path: str = "path", value: str = "hash") -> D
     given twice counts twice; null and empty hashes are left out. Groups are
     rows, never arrays, so a group may be of any size."""
     rows = entries.select(F.col(value).alias("hash"), F.col(path).alias("path")).filter("hash is not null and hash <> ''")
-    many = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n_files")).filter("n_files > 1")
-    return skew_join(rows, many, ["hash"], "inner").select("hash", "n_files", "path")
+    rows = cut(rows, "hashes")  # read three times, but contents are hashed once
+    counts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n_files")).filter("n_files > 1")
+    many = cut(counts, "groups")
+    hot = hot_keys(many.selectExpr(f"{hash_of('hash')} AS k", "n_files"), total=rows.count(), n="n_files")
+    return skew_join(rows, many, ["hash"], "inner", hot).select("hash", "n_files", "path")
 
 
 def summary(entries: DataFrame, size: str = "size", seconds: float | None = None) -> DataFrame:
