@@ -60,18 +60,20 @@ def fields_in_order(line: Column, names: list[str] = LINE_FIELDS) -> Column:
 
 
 def survivors(rows: DataFrame, id_col: str, raw: dict[str, Column], canonical, keep_raw: bool = False) -> DataFrame:
-    """Steps 1 and 2: the canonical columns ``__c0``, ..., ``first`` and ``n``, a
-    row per distinct raw row; ``canonical`` makes its columns from the raw ones,
-    which are kept as ``__<name>`` if asked for."""
+    """Steps 1 and 2, a row per distinct raw row: the raw columns as ``__<name>``,
+    ``first`` and ``n``. ``canonical`` makes other forms of some of them, which
+    come as ``__c_<name>``, in place of the raw ones unless these are kept."""
     keys = [f"__{k}" for k in raw]
     rows = rows.select(F.col(id_col).alias("__id"), *[c.alias(f"__{k}") for k, c in raw.items()])
     distinct = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first"))
-    columns = canonical({k: F.col(f"__{k}") for k in raw})
-    return distinct.select(*[c.alias(f"__c{i}") for i, c in enumerate(columns)], *(keys if keep_raw else []), "first", "n")
+    forms = canonical({k: F.col(f"__{k}") for k in raw})
+    return distinct.select(*[c.alias(f"__c_{k}") for k, c in forms.items()], *[f"__{k}" for k in raw if keep_raw or k not in forms], "first", "n")
 
 
 def _canon(found: DataFrame) -> list[str]:
-    return [c for c in found.columns if c.startswith("__c") and c[3:].isdigit()]
+    """The columns that together are the full canonical text of a row."""
+    forms = [c for c in found.columns if c.startswith("__c_")]
+    return forms + [c for c in found.columns if c.startswith("__") and c not in forms and f"__c_{c[2:]}" not in forms]
 
 
 def groups(found: DataFrame) -> DataFrame:
@@ -108,9 +110,9 @@ def copies(rows: DataFrame, id_col: str, raw: dict[str, Column], canonical) -> D
 def file_rows() -> tuple[dict[str, Column], object]:
     """Raw columns and canonical form of a table of hashed files."""
     raw = {c: F.col(c) for c in ("path", "inode", "algo", "mtime", "hash", "size")}
-    return raw, lambda c: [letters_digits(c["path"]), letters_digits(c["inode"]), c["algo"], c["mtime"], c["hash"], c["size"]]
+    return raw, lambda c: {"path": letters_digits(c["path"]), "inode": letters_digits(c["inode"])}
 
 
 def entry_lines() -> tuple[dict[str, Column], object]:
     """Raw column and canonical form of lines naming the five fields."""
-    return {"line": F.col("line")}, lambda c: [fields_in_order(c["line"])]
+    return {"line": F.col("line")}, lambda c: {"line": fields_in_order(c["line"])}
