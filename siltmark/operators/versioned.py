@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from siltmark.session import Folder
 
 FULL_EVERY = 16
-#: Seconds before the second try, and what each further wait is longer by.
+#: Seconds before the second try, and what each further wait is longer by.
 FIRST_WAIT, LONGER = 0.2, 1.25
 
 Made = TypeVar("Made")
